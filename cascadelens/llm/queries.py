@@ -1,4 +1,25 @@
 """Queries of the problems tagged llm."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cascadelens.llm import minhash
+from cascadelens.tables import table
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of rows whose functions are near-duplicates."""
+    found = minhash.near_duplicates(table(spark, folder, "function_signature"), "fs_id", "content")
+    return minhash.pairs_of_rows(*found).select(F.col("row_a").alias("fs_a"), F.col("row_b").alias("fs_b"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The group of near-duplicates of each function."""
+    found = minhash.near_duplicates(table(spark, folder, "function_signature"), "fs_id", "content")
+    return minhash.groups(*found).select(F.col("row_id").alias("fs_id"), "group_id", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+ORACLE: dict[str, str] = {}

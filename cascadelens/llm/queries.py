@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascadelens.llm import minhash
+from cascadelens.llm import bpe, minhash, mixing, reading
 from cascadelens.tables import table
 
 
@@ -21,5 +21,34 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(*found).select(F.col("row_id").alias("fs_id"), "group_id", "n_links")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups)}
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.token_ids(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixture(spark, folder)[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return _mixture(spark, folder)[1]
+
+
+def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated reading level of every document."""
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_label"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """English documents whose prose is hard to read."""
+    return p10_levels(spark, folder).where("english and band = 'hard'").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascadelens.llm import bpe, minhash, mixing, reading
+from cascadelens.llm import bpe, canonical, minhash, mixing, reading
 from cascadelens.tables import table
 
 
@@ -21,6 +21,16 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(*found).select(F.col("row_id").alias("fs_id"), "group_id", "n_links")
 
 
+def p6_mapped(spark: SparkSession, folder: str) -> DataFrame:
+    """The entry that each typed name means, or why none."""
+    return canonical.map_rows(table(spark, folder, "sbom_component"), "sbom_id", table(spark, folder, "git2cpe"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose name means an entry of the list."""
+    return p6_mapped(spark, folder).where("status = 'matched'").select("sbom_id", "ref_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.token_ids(table(spark, folder, "documents"), "doc_id", "text")
@@ -50,5 +60,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).where("english and band = 'hard'").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_mapped, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cascadelens.llm import bpe, canonical, minhash, mixing, reading
+from cascadelens.llm import bpe, canonical, handwritten, minhash, mixing, reading
 from cascadelens.tables import table
 
 
@@ -31,6 +31,16 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_mapped(spark, folder).where("status = 'matched'").select("sbom_id", "ref_id")
 
 
+def p7_files(spark: SparkSession, folder: str) -> DataFrame:
+    """What kind of file each is, and why."""
+    return handwritten.classify(table(spark, folder, "function_signature"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that were not written by hand."""
+    return p7_files(spark, folder).where("kind is not null").select("author", "repo_name", "file_path")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return bpe.token_ids(table(spark, folder, "documents"), "doc_id", "text")
@@ -60,5 +70,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_levels(spark, folder).where("english and band = 'hard'").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_mapped, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p6_found, p6_mapped, p7_found, p7_files, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)}
 ORACLE: dict[str, str] = {}

@@ -23,7 +23,7 @@ from cascadelens.session import cut_lineage, via_table
 #: Runs of so many tokens, and the share of them that two functions must have in common.
 WIDTH, SIMILARITY = 3, 0.7
 #: Wanted chance that a pair just at the threshold meets in a band, and rows of a band.
-RECALL, ROWS = 0.998, 5
+RECALL, ROWS = 0.995, 5
 #: Token runs are hashed for so many at a time, so that the work stays in the processor's cache.
 _BLOCK = 1 << 15
 
@@ -84,35 +84,32 @@ def signatures(df: DataFrame, row_id: str, text: str, bands: int, rows: int) ->
                     row_id: pdf[row_id].to_numpy()[who],
                     "key_a": keys[0].view(np.int64),
                     "key_b": keys[1].view(np.int64),
-                    "bands": list(hashes[who].view(np.int64)),
+                    "bands": list((hashes[who] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                 }
             )
 
-    return df.select(row_id, text).mapInPandas(sign, f"{row_id} bigint, key_a bigint, key_b bigint, bands array<bigint>")
+    return df.select(row_id, text).mapInPandas(sign, f"{row_id} bigint, key_a bigint, key_b bigint, bands array<int>")
 
 
-def run_sets(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """row_id, runs: the distinct token runs of each text as sorted 64-bit hashes."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            grams, owners = _tokens(pdf[text])
-            order = np.lexsort((grams, owners))
-            grams, owners = grams[order], owners[order]
-            new = np.r_[True, (owners[1:] != owners[:-1]) | (grams[1:] != grams[:-1])] if len(grams) else np.zeros(0, dtype=bool)
-            grams, owners = grams[new].view(np.int64), owners[new]
-            cuts = np.searchsorted(owners, np.arange(1, len(pdf)))
-            yield pd.DataFrame({row_id: pdf[row_id].to_numpy(), "runs": np.split(grams, cuts)})
-
-    return df.select(row_id, text).mapInPandas(read, f"{row_id} bigint, runs array<bigint>")
+def run_sets(ids: np.ndarray, texts: pd.Series) -> dict[int, np.ndarray]:
+    """The distinct token runs of each text, as 64-bit hashes; equal ids are read once."""
+    at = np.unique(ids, return_index=True)[1]
+    grams, owners = _tokens(texts.iloc[at])
+    order = np.lexsort((grams, owners))
+    grams, owners = grams[order], owners[order]
+    new = np.r_[True, (owners[1:] != owners[:-1]) | (grams[1:] != grams[:-1])] if len(grams) else np.zeros(0, dtype=bool)
+    grams, owners = grams[new], owners[new]
+    return dict(zip(ids[at].tolist(), np.split(grams, np.searchsorted(owners, np.arange(1, len(at)))), strict=True))
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        a, b = run_sets(pdf["a"].to_numpy(), pdf["text_a"]), run_sets(pdf["b"].to_numpy(), pdf["text_b"])
         keep = np.zeros(len(pdf), dtype=bool)
-        for i, (x, y) in enumerate(zip(pdf["runs_a"], pdf["runs_b"], strict=True)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep[i] = both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
+        for i, (x, y) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
+            u, v = a[x], b[y]
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            keep[i] = both >= SIMILARITY * (len(u) + len(v) - both) - 1e-9
         yield pdf.loc[keep, ["a", "b"]]
 
 
@@ -129,12 +126,13 @@ def near_duplicates(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, D
     reps = signed.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"))
     members = cut_lineage(signed.select("id", "key_a", "key_b").join(reps, ["key_a", "key_b"]).select("id", "rep").distinct())
     heads = members.where("id = rep").select("id")
-    buckets = signed.join(heads, "id").select("id", F.explode("bands").alias("band"))
+    # the band's number and 32 bits of its hash are one key
+    placed = signed.join(heads, "id").select("id", F.posexplode("bands").alias("place", "hash"))
+    buckets = placed.select("id", F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("band"))
     met = buckets.select(F.col("id").alias("a"), "band").join(buckets.select(F.col("id").alias("b"), "band"), "band").where("a < b")
     candidates = cut_lineage(met.select("a", "b").distinct())
-    named = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = run_sets(base.join(named, "id", "left_semi"), "id", "text")
-    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b")
+    # texts are shuffled once for both ends; they are smaller than the hashes of their runs
+    both = candidates.join(base.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(base.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return members, both.mapInPandas(_shared, "a bigint, b bigint").distinct()
 
 

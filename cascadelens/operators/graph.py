@@ -33,3 +33,92 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             break
         before = state
     return nodes.join(links.select(F.col("u").alias("id"), "v"), "id", "left").groupBy("id").agg(F.min(F.coalesce("v", "id")).alias("component"))
+
+
+def in_degree_centrality(edges: DataFrame, source: str, target: str, weight: str) -> DataFrame:
+    """id, in_degree: the weights of the edges to a node, over the number of other nodes."""
+    ids = edges.select(F.explode(F.array(source, target)).alias("id")).distinct()
+    others = ids.agg((F.count(F.lit(1)) - 1).alias("others"))
+    into = edges.groupBy(F.col(target).alias("id")).agg(F.sum(weight).alias("w"))
+    scaled = F.coalesce("w", F.lit(0.0)) / F.when(F.col("others") > 0, F.col("others"))
+    return ids.join(into, "id", "left").crossJoin(F.broadcast(others)).select("id", F.coalesce(scaled, F.lit(0.0)).alias("in_degree"))
+
+
+def pagerank(edges: DataFrame, source: str, target: str, weight: str, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
+    """id, rank after a fixed number of rounds; what dangling nodes hold is spread over all nodes.
+
+    Every round sends rank along the edges before the shuffle's partial sums, so a node with very many
+    incoming edges is added up in many tasks.
+    """
+    total = edges.groupBy(F.col(source).alias("s")).agg(F.sum(weight).alias("total"))
+    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("x"), F.col(weight).alias("w")).join(total, "s").select("s", "x", (F.col("w") / F.col("total")).alias("share")))
+    ids = cut_lineage(links.select(F.explode(F.array("s", "x")).alias("id")).distinct())
+    n = ids.count()
+    if not n:
+        return ids.select("id", F.lit(None).cast("double").alias("rank"))
+    has_out = links.select(F.col("s").alias("id")).distinct().withColumn("out", F.lit(1))
+    nodes = cut_lineage(ids.join(has_out, "id", "left").select("id", F.col("out").isNull().alias("dangling")))
+    rank = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
+    for k in range(rounds):
+        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        sent = links.join(rank.select(F.col("id").alias("s"), "rank"), "s").groupBy(F.col("x").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+        rank = nodes.join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", new.alias("rank"))
+        if k % 5 == 4:
+            rank = cut_lineage(rank)
+    return rank.select("id", "rank")
+
+
+def paths_from(edges: DataFrame, source: str, target: str, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
+    """root, id, level, path (array) of every path from the roots(id), which doesn't meet itself.
+
+    One row a path: a node reached in two ways comes twice. `most_levels` ends graphs without end.
+    """
+    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null").distinct())
+    front = cut_lineage(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.array("id").alias("path")).distinct())
+    out = front
+    for level in range(1, most_levels + 1):
+        step = front.select("root", F.col("id").alias("s"), "path").join(links, "s").where(~F.array_contains("path", F.col("x")))
+        front = cut_lineage(step.select("root", F.col("x").alias("id"), F.lit(level).alias("level"), F.concat("path", F.array("x")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def dependents_by_level(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """root, paths_1..paths_3 (1 is the root itself), dependents_1..dependents_3 (distinct, by reverse hops)."""
+    links = edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null and s <> x").distinct()
+    one = links.select(F.col("x").alias("root"), F.col("s").alias("d1"))
+    two = one.join(links.select(F.col("x").alias("d1"), F.col("s").alias("d2")), "d1")
+    three = two.join(links.select(F.col("x").alias("d2"), F.col("s").alias("d3")), "d2")
+    ids = links.select(F.explode(F.array("s", "x")).alias("root")).distinct()
+    count = lambda d, c, p, u: d.groupBy("root").agg(F.count(F.lit(1)).alias(p), F.count_distinct(c).alias(u))
+    out = ids.join(count(one, "d1", "paths_2", "dependents_1"), "root", "left").join(count(two, "d2", "paths_3", "dependents_2"), "root", "left").join(count(three, "d3", "paths_4", "dependents_3"), "root", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("root", F.lit(1).cast("bigint").alias("paths_1"), zero("paths_2"), zero("paths_3"), zero("dependents_1"), zero("dependents_2"), zero("dependents_3"))
+
+
+def top_dependents(levels: DataFrame, k: int = 10) -> DataFrame:
+    """The k roots with most dependents at two and three hops; ties by id."""
+    return levels.select("root", "dependents_1", "dependents_2", "dependents_3").orderBy((F.col("dependents_2") + F.col("dependents_3")).desc(), "root").limit(k)
+
+
+def cycle_edges(edges: DataFrame, source: str, target: str, longest: int = 6) -> DataFrame:
+    """s, x, n_cycles: how many simple cycles of up to `longest` edges each edge is on.
+
+    Cycles are walked from their least node, so each is met once; edges between different strongly
+    connected parts never come back and drop out of the frontier.
+    """
+    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null and s <> x").distinct())
+    front = links.where("s < x").select(F.col("s").alias("start"), F.col("x").alias("at"), F.array("s", "x").alias("path"))
+    found = None
+    for _ in range(longest - 1):
+        step = front.join(links.select(F.col("s").alias("at"), "x"), "at")
+        closed = step.where("x = start").select(F.concat("path", F.array("start")).alias("path"))
+        found = closed if found is None else found.unionByName(closed)
+        front = cut_lineage(step.where(F.col("x") > F.col("start")).where(~F.array_contains("path", F.col("x"))).select("start", F.col("x").alias("at"), F.concat("path", F.array("x")).alias("path")))
+        if front.isEmpty():
+            break
+    hops = found.select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("s"), F.slice("path", F.lit(2), F.size("path") - 1).alias("x"))).alias("e"))
+    return hops.groupBy(F.col("e.s").alias("s"), F.col("e.x").alias("x")).agg(F.count(F.lit(1)).alias("n_cycles"))

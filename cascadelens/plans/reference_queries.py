@@ -241,10 +241,10 @@ def a3_adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("threshold", clones.adaptive_threshold(F.col("reused"), F.col("functions")))
 
 
-@query("SELECT author, repo_name, count(*) AS n_functions, count(DISTINCT md5_hash) AS n_hashes, count(DISTINCT file_path) AS n_files, epoch_us(min(birth_time)) AS first_birth_us FROM function_signature GROUP BY 1, 2")
+@query("SELECT author, repo_name, count(*) AS n_functions, count(DISTINCT md5_hash) AS n_hashes, count(DISTINCT file_path) AS n_files, CAST(epoch_us(min(birth_time)) AS VARCHAR) AS first_birth_us FROM function_signature GROUP BY 1, 2")
 def a1_library_counts(spark: SparkSession, d: str) -> DataFrame:
     """The feature library in numbers."""
-    return _functions(spark, d).groupBy("author", "repo_name").agg(F.count(F.lit(1)).alias("n_functions"), F.count_distinct("md5_hash").alias("n_hashes"), F.count_distinct("file_path").alias("n_files"), F.unix_micros(F.min("birth_time")).alias("first_birth_us"))
+    return _functions(spark, d).groupBy("author", "repo_name").agg(F.count(F.lit(1)).alias("n_functions"), F.count_distinct("md5_hash").alias("n_hashes"), F.count_distinct("file_path").alias("n_files"), F.unix_micros(F.min("birth_time")).cast("string").alias("first_birth_us"))
 
 
 @query("SELECT repo, path, epoch_us(min(commit_ts)) AS born_us, count(*) AS n_commits FROM commit_log WHERE commit_ts IS NOT NULL AND op = 'upsert' GROUP BY 1, 2")
@@ -291,9 +291,9 @@ def _signatures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return births, names
 
 
-@query(f"WITH {_BIRTH} SELECT func, tpl, epoch_us(born) AS born_us, path FROM birth")
+@query(f"WITH {_BIRTH} SELECT func, tpl, CAST(epoch_us(born) AS VARCHAR) AS born_us, path FROM birth")
 def a6_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    return _signatures(spark, d)[0].select("func", "tpl", F.unix_micros("born").alias("born_us"), "path")
+    return _signatures(spark, d)[0].select("func", "tpl", F.unix_micros("born").cast("string").alias("born_us"), "path")
 
 
 @query(f"WITH {_HELD} SELECT func, segment, votes FROM votes")
@@ -301,9 +301,9 @@ def a7_path_votes(spark: SparkSession, d: str) -> DataFrame:
     return tpl.path_votes(*_signatures(spark, d))
 
 
-@query(f"WITH {_ORIGIN} SELECT func, origin, epoch_us(origin_time) AS origin_us, by_path FROM origin")
+@query(f"WITH {_ORIGIN} SELECT func, origin, CAST(epoch_us(origin_time) AS VARCHAR) AS origin_us, by_path FROM origin")
 def a8_origins(spark: SparkSession, d: str) -> DataFrame:
-    return tpl.origins(*_signatures(spark, d)).select("func", "origin", F.unix_micros("origin_time").alias("origin_us"), "by_path")
+    return tpl.origins(*_signatures(spark, d)).select("func", "origin", F.unix_micros("origin_time").cast("string").alias("origin_us"), "by_path")
 
 
 def _reused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -87,5 +87,5 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     mixed = uses.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     joined = plan.join(mixed, "source", "left").select("source", "target_share", "max_repeat", zero("n_documents").alias("n_documents"), zero("tokens").alias("tokens"), "epochs", zero("mixed_tokens").alias("mixed_tokens"))
-    share = F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())
+    share = F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy()))
     return uses, joined.withColumn("actual_share", F.coalesce(share, F.lit(0.0)))

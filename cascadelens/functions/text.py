@@ -36,7 +36,8 @@ def feature_class(token: Column) -> Column:
 
 def without_comments(content: Column) -> Column:
     """Comments out, but not those inside string and character literals; blank lines out, lines trimmed."""
-    literal = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')"""
+    # possessive groups are matched in a loop; others recurse, and overflow the stack on long literals
+    literal = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')"""
     bare = F.regexp_replace(content, rf"(?ms){literal}|//[^\n]*|/\*.*?\*/", "$1")
     lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
     return F.array_join(lines, "\n")
@@ -55,5 +56,5 @@ def extracted_functions(content: Column) -> Column:
 
 def without_huge_arrays(content: Column) -> Column:
     """Runs of ten thousand constants or more are taken out of texts of over 20,000 characters."""
-    run = r"(?:[0-9a-fA-FxX\s]+,){10000,}"
+    run = r"(?:[0-9a-fA-FxX\s]++,){10000,}+"
     return F.when(F.length(content) > 20000, F.regexp_replace(content, run, "")).otherwise(content)

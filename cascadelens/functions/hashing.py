@@ -18,27 +18,33 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _token_features(df: DataFrame, row_id: str, content: str) -> DataFrame:
+    """row_id, single, bigram of every token; one row a token keeps all of it in generated code."""
+    toks = df.select(row_id, T.tokens(T.preprocess(F.col(content))).alias("t"))
+    each = toks.select(row_id, "t", F.posexplode("t").alias("i", "x")).select(row_id, "x", F.get("t", F.col("i") + 1).alias("next"))
+    kind = T.feature_class(F.col("x"))
+    word = F.when(kind == "keyword", F.lower("x")).otherwise(F.col("x"))
+    return each.select(row_id, F.concat(kind, F.lit("_"), word).alias("single"), F.concat(F.lit("bigram_"), "x", F.lit("_"), "next").alias("bigram"))
+
+
 def features(df: DataFrame, row_id: str, content: str) -> DataFrame:
     """row_id, feature, n: keywords, identifiers, operators and bigrams of the preprocessed text."""
-    toks = df.select(row_id, T.tokens(T.preprocess(F.col(content))).alias("t"))
-    single = F.filter(
-        F.transform("t", lambda x: F.concat(T.feature_class(x), F.lit("_"), F.when(T.feature_class(x) == "keyword", F.lower(x)).otherwise(x))),
-        lambda x: x.isNotNull(),
-    )
-    pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(F.lit("bigram_"), a, F.lit("_"), b))
-    exploded = toks.select(row_id, F.explode(F.concat(single, pairs)).alias("feature"))
-    return exploded.groupBy(row_id, "feature").agg(F.count(F.lit(1)).alias("n"))
+    both = _token_features(df, row_id, content).select(row_id, F.explode(F.array("single", "bigram")).alias("feature"))
+    return both.where("feature is not null").groupBy(row_id, "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 def simhash(df: DataFrame, row_id: str, content: str) -> DataFrame:
     """row_id, fingerprint of every row with a content.
 
     A bit is set if the features with that bit outweigh those without; ties and texts without features
-    give 0. Two bit counters share one long (32 bits each), so 64 bits take 32 sums and not 64.
+    give 0. Two bit counters share one long (32 bits each), so 64 bits take 32 sums and not 64. All
+    features of a row come from one row, so they are added up before the shuffle.
     """
-    bits = features(df, row_id, content).select(row_id, "n", md5_low64(F.col("feature")).alias("h"))
-    one = lambda i: F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1))
-    packed = bits.groupBy(row_id).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * (one(i) + F.shiftleft(one(i + 32), 32))).alias(f"c{i}") for i in range(32)])
+    hashed = _token_features(df, row_id, content).select(row_id, md5_low64(F.col("single")).alias("h"), md5_low64(F.col("bigram")).alias("g"))
+    bits = hashed.select(row_id, F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("g", F.lit(0)).alias("g"), (F.col("h").isNotNull().cast("int") + F.col("g").isNotNull().cast("int")).alias("k"))
+    one = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))
+    both = lambda i: one("h", i) + one("g", i)
+    packed = bits.groupBy(row_id).agg(F.sum("k").alias("n"), *[F.sum(both(i) + F.shiftleft(both(i + 32), 32)).alias(f"c{i}") for i in range(32)])
     low = lambda i: F.col(f"c{i}").bitwiseAND(F.lit(0xFFFFFFFF))
     high = lambda i: F.shiftrightunsigned(f"c{i}", 32)
     value = F.lit(0).cast("bigint")

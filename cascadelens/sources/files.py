@@ -11,7 +11,8 @@ from cascadelens.functions.naming import is_header, is_library_file, is_source,
 def source_tree(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
     """author, repo, path, content of the C and C++ files below root/author%repo/.
 
-    Libraries are read without hidden, build, test and doc folders, projects with them (prune=False).
+    Libraries are read without build, test and doc folders, projects with them (prune=False). Spark's
+    file listing passes over names that begin with a dot or an underscore in either case.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     below = F.regexp_extract("path", r"/([^/%]+%[^/]+)/(.+)$", 2)

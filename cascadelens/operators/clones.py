@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,36 +13,36 @@ from cascadelens.functions.hashing import hamming
 HAMMING, BASE_THRESHOLD = 8, 0.1
 
 
-def band_values(fingerprint: Column, distance: int) -> Column:
-    """The 64 bits cut into distance + 1 bands: fingerprints within the distance agree on one of them."""
-    bands = distance + 1
+def band_keys(fingerprint: Column, distance: int, together: int = 2) -> Column:
+    """array<bigint>: the 64 bits cut into distance + together bands, every `together` of them a key.
+
+    Two fingerprints within the distance differ in at most `distance` bands and so agree on one key in
+    full. More bands together make more keys of more bits each, which unlike fingerprints share less.
+    """
+    bands = distance + together
     width, more = divmod(64, bands)
-    at, out = 0, []
+    at, parts = 0, []
     for i in range(bands):
         size = width + (i < more)
-        out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1)))
+        parts.append((F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1)), size))
         at += size
-    return F.array(*out)
+    keys = []
+    for k, chosen in enumerate(combinations(parts, together)):
+        value = F.lit(k).cast("bigint")
+        for bits, size in chosen:
+            value = F.shiftleft(value, size).bitwiseOR(bits)
+        keys.append(value)
+    return F.array(*keys)
 
 
 def similar_functions(projects: DataFrame, library: DataFrame, distance: int = HAMMING) -> DataFrame:
     """id, repo_b: functions of `projects` that another repository of `library` has in an older form.
 
     Both have id, repo, fingerprint, birth. Fingerprints that agree in full are folded first, so copies
-    cost one row; bands of few bits are shared by many unlike functions, and two bands together are
-    the key instead of one: with k + 2 bands any pair within distance k agrees on two of them.
+    cost one row.
     """
     fold = lambda d: d.where("fingerprint is not null").select("fingerprint").distinct()
-    bands = distance + 2
-    width, more = divmod(64, bands)
-    cuts, at = [], 0
-    for i in range(bands):
-        size = width + (i < more)
-        cuts.append((at, size))
-        at += size
-    part = lambda i: F.shiftrightunsigned("fingerprint", cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
-    pairs = [F.struct(F.lit(i * bands + j).alias("k"), (F.shiftleft(part(i), cuts[j][1]).bitwiseOR(part(j))).alias("v")) for i in range(bands) for j in range(i + 1, bands)]
-    keyed = lambda d, name: fold(d).select(F.col("fingerprint").alias(name), F.explode(F.array(*pairs)).alias("key"))
+    keyed = lambda d, name: fold(d).select(F.col("fingerprint").alias(name), F.explode(band_keys(F.col("fingerprint"), distance)).alias("key"))
     near = keyed(projects, "fa").join(keyed(library, "fb"), "key").where(hamming(F.col("fa"), F.col("fb")) <= distance).select("fa", "fb").distinct()
     a = projects.select(F.col("id"), F.col("repo").alias("repo_a"), F.col("fingerprint").alias("fa"), F.col("birth").alias("birth_a"))
     # of equal fingerprints of a repository only the oldest and an undated one can matter

@@ -1 +1 @@
-""""""
+"""Column expressions: text, hashes, versions, names and paths."""

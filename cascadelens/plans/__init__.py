@@ -1 +1 @@
-""""""
+"""Queries with their SQL equivalents."""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascadelens.session import cut_lineage
+from cascadelens.session import cut_lineage, via_table
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -104,21 +105,143 @@ def top_dependents(levels: DataFrame, k: int = 10) -> DataFrame:
     return levels.select("root", "dependents_1", "dependents_2", "dependents_3").orderBy((F.col("dependents_2") + F.col("dependents_3")).desc(), "root").limit(k)
 
 
-def cycle_edges(edges: DataFrame, source: str, target: str, longest: int = 6) -> DataFrame:
-    """s, x, n_cycles: how many simple cycles of up to `longest` edges each edge is on.
+def _least_reaching(links: DataFrame, source: str, target: str) -> DataFrame:
+    """id, m: the least (hash, id) among the nodes from which each node can be reached, itself included.
 
-    Cycles are walked from their least node, so each is met once; edges between different strongly
-    connected parts never come back and drop out of the frontier.
+    A node also takes the label of its label. Hashes stand in no order along the edges, so on long
+    paths the number of rounds is expected to grow with the logarithm of the length. Labels go through
+    tables, whose size is known: the size estimated for a checkpoint is multiplied in every join.
     """
-    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null and s <> x").distinct())
-    front = links.where("s < x").select(F.col("s").alias("start"), F.col("x").alias("at"), F.array("s", "x").alias("path"))
-    found = None
-    for _ in range(longest - 1):
-        step = front.join(links.select(F.col("s").alias("at"), "x"), "at")
-        closed = step.where("x = start").select(F.concat("path", F.array("start")).alias("path"))
-        found = closed if found is None else found.unionByName(closed)
-        front = cut_lineage(step.where(F.col("x") > F.col("start")).where(~F.array_contains("path", F.col("x"))).select("start", F.col("x").alias("at"), F.concat("path", F.array("x")).alias("path")))
-        if front.isEmpty():
-            break
-    hops = found.select(F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("s"), F.slice("path", F.lit(2), F.size("path") - 1).alias("x"))).alias("e"))
-    return hops.groupBy(F.col("e.s").alias("s"), F.col("e.x").alias("x")).agg(F.count(F.lit(1)).alias("n_cycles"))
+    own = F.struct(F.xxhash64("id").alias("h"), "id")
+    labels = via_table(links.select(F.explode(F.array(source, target)).alias("id")).distinct().withColumn("m", own), "labels")
+    while True:
+        sent = links.join(labels.withColumnRenamed("id", source), source).select(F.col(target).alias("id"), "m", F.lit(None).cast(labels.schema["m"].dataType).alias("old"))
+        least = sent.unionByName(labels.withColumn("old", F.col("m"))).groupBy("id").agg(F.min("m").alias("m"), F.max("old").alias("old"))
+        jump = labels.select(F.col("id").alias("via"), F.col("m").alias("further"))
+        new = via_table(least.join(jump, F.col("m.id") == F.col("via")).select("id", F.least("m", "further").alias("m"), "old"), "labels")
+        labels = new.select("id", "m")
+        if new.where("m <> old").isEmpty():
+            return labels
+
+
+def _group_strong(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """s, x, part: the distinct edges that can be on a cycle, no strongly connected part in two groups.
+
+    Nodes of one strongly connected part are reached from the same nodes and reach the same ones, so
+    edges between different labels, first forwards and then backwards, are on no cycle.
+    """
+    links = via_table(edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null and s <> x").distinct(), "links")
+    for ways in (("s", "x"), ("x", "s")):
+        labels = _least_reaching(links.select("s", "x"), *ways)
+        of = lambda end: labels.select(F.col("id").alias(end), F.col("m.id").alias(f"{end}_part"))  # noqa: B023, E731
+        links = via_table(links.select("s", "x").join(of("s"), "s").join(of("x"), "x").where("s_part = x_part").select("s", "x", F.col("s_part").alias("part")), "links")
+    return links
+
+
+def _strong_parts(nodes: set, below: dict) -> list[set]:
+    """The strongly connected parts of two or more of `nodes` (Tarjan, without recursion)."""
+    order: dict = {}
+    low: dict = {}
+    open_nodes: list = []
+    is_open: set = set()
+    parts = []
+    for root in nodes:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        open_nodes.append(root)
+        is_open.add(root)
+        stack = [(root, iter(below[root]))]
+        while stack:
+            v, rest = stack[-1]
+            for w in rest:
+                if w not in nodes:
+                    continue
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    open_nodes.append(w)
+                    is_open.add(w)
+                    stack.append((w, iter(below[w])))
+                    break
+                if w in is_open:
+                    low[v] = min(low[v], order[w])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = set()
+                    while v not in part:
+                        part.add(open_nodes.pop())
+                    is_open -= part
+                    if len(part) > 1:
+                        parts.append(part)
+    return parts
+
+
+def count_cycles(pairs: list[tuple]) -> dict[tuple, int]:
+    """How many simple cycles, of any length, each edge is on (Johnson's search; loops on one node are left out).
+
+    A node that led nowhere is blocked until a node after it gets free, so the time between two
+    cycles is bounded by the size of the part.
+    """
+    below: dict = {}
+    for s, x in pairs:
+        below.setdefault(s, [])
+        below.setdefault(x, [])
+        if s != x:
+            below[s].append(x)
+    counts: dict[tuple, int] = {}
+    parts = _strong_parts(set(below), below)
+    while parts:
+        part = parts.pop()
+        inside = {v: [w for w in below[v] if w in part] for v in part}
+        start = min(part)
+        path, blocked, closed, waiting = [start], {start}, set(), {v: set() for v in part}
+        stack = [iter(inside[start])]
+        while stack:
+            for w in stack[-1]:
+                if w == start:
+                    for edge in zip(path, [*path[1:], start], strict=True):
+                        counts[edge] = counts.get(edge, 0) + 1
+                    closed.update(path)
+                elif w not in blocked:
+                    path.append(w)
+                    stack.append(iter(inside[w]))
+                    closed.discard(w)
+                    blocked.add(w)
+                    break
+            else:
+                stack.pop()
+                v = path.pop()
+                if v in closed:
+                    free = [v]
+                    while free:
+                        u = free.pop()
+                        if u in blocked:
+                            blocked.remove(u)
+                            free.extend(waiting[u])
+                            waiting[u].clear()
+                else:
+                    for w in inside[v]:
+                        waiting[w].add(v)
+        parts.extend(_strong_parts(part - {start}, inside))
+    return counts
+
+
+def cycle_edges(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """s, x, n_cycles: how many simple cycles, of any length, each edge is on; a loop on one node is a cycle of one edge.
+
+    Strongly connected parts are searched in tasks, each part in one, which holds its edges but no
+    cycles; the time grows with the number of cycles, and no bound ends it.
+    """
+    links = _group_strong(edges, source, target)
+    kinds = [links.schema[c].dataType.simpleString() for c in ("s", "x")]
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = count_cycles(list(zip(pdf["s"], pdf["x"], strict=True)))
+        return pd.DataFrame([(*e, n) for e, n in counts.items()], columns=["s", "x", "n_cycles"])
+
+    found = links.groupBy("part").applyInPandas(search, f"s {kinds[0]}, x {kinds[1]}, n_cycles bigint")
+    loops = edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s = x").distinct()
+    return found.unionByName(loops.withColumn("n_cycles", F.lit(1).cast("bigint")))

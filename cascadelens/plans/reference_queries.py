@@ -400,7 +400,7 @@ def g3_top_dependents(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def g5_cycle_edges(spark: SparkSession, d: str) -> DataFrame:
-    """How many simple cycles each edge is on."""
+    """How many simple cycles each edge is on."""
     return graph.cycle_edges(table(spark, d, "reuses"), "src_id", "dst_id")
 
 

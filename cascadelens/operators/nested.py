@@ -9,7 +9,9 @@ path of positions and that of its parent, which is the foreign key.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,13 +25,85 @@ def _reject(constant: str) -> None:
     raise ValueError(constant)
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _load_deep(text: str) -> object:
+    """As json.loads, with a stack of its own: nested as deep as memory allows. ValueError where invalid."""
+    skip = lambda i: _SPACE.match(text, i).end()
+    stack: list[tuple[object, str | None]] = []  # open containers, each with the key it waits at
+
+    def key(i: int) -> tuple[str, int]:
+        if text[i : i + 1] != '"':
+            raise ValueError(i)
+        name, i = scanstring(text, i + 1, True)
+        i = skip(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(i)
+        return name, skip(i + 1)
+
+    i = skip(0)
+    while True:
+        c = text[i : i + 1]
+        if c in ("{", "["):
+            i = skip(i + 1)
+            value: object = {} if c == "{" else []
+            if text[i : i + 1] != ("}" if c == "{" else "]"):
+                name = None
+                if c == "{":
+                    name, i = key(i)
+                stack.append((value, name))
+                continue
+            i += 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        elif number := _NUMBER.match(text, i):
+            value = float(number[0]) if number[2] or number[3] else int(number[0])
+            i = number.end()
+        else:
+            word = next((w for w in _WORDS if text.startswith(w, i)), None)
+            if word is None:
+                raise ValueError(i)
+            value, i = _WORDS[word], i + len(word)
+        # put the value into its container, and close those that end here
+        while True:
+            i = skip(i)
+            if not stack:
+                if i < len(text):
+                    raise ValueError(i)
+                return value
+            holder, name = stack.pop()
+            if isinstance(holder, dict):
+                holder[name] = value
+            else:
+                holder.append(value)
+            c = text[i : i + 1]
+            if c == ",":
+                i, name = skip(i + 1), None
+                if isinstance(holder, dict):
+                    name, i = key(i)
+                stack.append((holder, name))
+                break
+            if c != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(i)
+            value, i = holder, i + 1
+
+
 def _load(text: object) -> object:
     """The JSON value of `text`, or ... where it isn't valid JSON (NaN and Infinity aren't)."""
     if not isinstance(text, str):
         return ...
     try:
         return json.loads(text, parse_constant=_reject)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return ...
+    try:
+        return _load_deep(text)
+    except ValueError:
         return ...
 
 

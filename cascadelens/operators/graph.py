@@ -45,8 +45,11 @@ def in_degree_centrality(edges: DataFrame, source: str, target: str, weight: str
     return ids.join(into, "id", "left").crossJoin(F.broadcast(others)).select("id", F.coalesce(scaled, F.lit(0.0)).alias("in_degree"))
 
 
-def pagerank(edges: DataFrame, source: str, target: str, weight: str, rounds: int = 20, alpha: float = 0.85) -> DataFrame:
-    """id, rank after a fixed number of rounds; what dangling nodes hold is spread over all nodes.
+def pagerank(edges: DataFrame, source: str, target: str, weight: str, alpha: float = 0.85, tolerance: float = 1e-10) -> DataFrame:
+    """id, rank; what dangling nodes hold is spread over all nodes.
+
+    Rounds go on until the summed distance to the settled ranks is at most `tolerance`: it is bounded by
+    alpha / (1 - alpha) times the last round's change, which shrinks by alpha or more a round.
 
     Every round sends rank along the edges before the shuffle's partial sums, so a node with very many
     incoming edges is added up in many tasks.
@@ -60,13 +63,17 @@ def pagerank(edges: DataFrame, source: str, target: str, weight: str, rounds: in
     has_out = links.select(F.col("s").alias("id")).distinct().withColumn("out", F.lit(1))
     nodes = cut_lineage(ids.join(has_out, "id", "left").select("id", F.col("out").isNull().alias("dangling")))
     rank = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
-        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        sent = links.join(rank.select(F.col("id").alias("s"), "rank"), "s").groupBy(F.col("x").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        rank = nodes.join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", new.alias("rank"))
-        if k % 5 == 4:
-            rank = cut_lineage(rank)
+    moved = None
+    while moved is None or moved * alpha / (1 - alpha) > tolerance:
+        for _ in range(5):
+            before = rank.select("id", F.col("rank").alias("before"))
+            lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            sent = links.join(rank.select(F.col("id").alias("s"), "rank"), "s").groupBy(F.col("x").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
+            rank = nodes.join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", new.alias("rank"))
+        rank = via_table(rank.join(before, "id"), "rank")
+        moved = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        rank = rank.drop("before")
     return rank.select("id", "rank")
 
 

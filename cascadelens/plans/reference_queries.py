@@ -482,7 +482,7 @@ def j4_affects_software(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_json_nodes() + _MATCHED + f", {_CHAIN} SELECT DISTINCT raw_id, c.author, c.repo_name, c.tag FROM aff JOIN chain c ON c.author = aff.author AND c.repo_name = aff.repo_name AND c.version = cpe_version WHERE regexp_full_match(cpe_version, '\\d+(\\.\\d+){{0,2}}') AND coalesce(si, '') = '' AND coalesce(se, '') = '' AND coalesce(ei, '') = '' AND coalesce(ee, '') = ''")
 def j5_affects_exact(spark: SparkSession, d: str) -> DataFrame:
-    """AFFECTS_VERSION edges of matches that name one version."""
+    """AFFECTS_VERSION edges of matches that name one version, by the extracted version (J6); no version map is read."""
     bounds = ["versionStartIncluding", "versionStartExcluding", "versionEndIncluding", "versionEndExcluding"]
     a = _affects(spark, d).select("raw_id", "author", "repo_name", F.col("p.version").alias("version"), *bounds)
     for b in bounds:

@@ -1,20 +1,26 @@
 """Problem 1: texts of mixed formats, precisions and zones become one UTC instant each.
 
 Every text gives an array of its valid interpretations, built from Column expressions only. A text
-with one interpretation is settled. Texts with several are settled by Viterbi over the record order
-of their source, where a switch of format and a jump back in time cost. A record with exactly one
-interpretation forces the path through itself, so the chain falls apart at those records without any
-loss, and only the short runs between them are solved, each as a group of its own.
+with one interpretation is settled. Viterbi over the whole record order of each source chooses one of each
+record, where a switch of format and a jump back in time cost. A source is cut into blocks by range,
+so that one with most of the records runs in many tasks: each block gives the costs between the
+readings of its first and of its last record, the blocks of a source are put together over these few
+numbers, and then each block is solved with its ends known. The path is the same as without blocks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cascadelens.operators.ordered import in_blocks
+from cascadelens.session import via_table
+
 # Offsets, in minutes, that a zone abbreviation can stand for.
 ABBREVIATIONS = {
     "WET": [0], "WEST": [60], "CET": [60], "CEST": [120], "MET": [60], "MEST": [120], "EET": [120],
@@ -193,32 +199,43 @@ def read_instants(records: DataFrame, zones: DataFrame) -> DataFrame:
 
 FORMAT_SWITCH = 1.0
 BACKWARD_JUMP = 2.0
+#: Costs are whole numbers, so that blocks add up exactly: a unit of the costs above, and what a reading
+#: costs by its place in the array (ties go to the first readings); below that, a number of its own.
+UNIT, PLACE = 1 << 44, 1 << 24
+
+Record = tuple[int, list[tuple[str, int]]]
+
+
+def _step(before: tuple[str, int], after: tuple[str, int]) -> int:
+    return int(UNIT * (FORMAT_SWITCH * (before[0] != after[0]) + BACKWARD_JUMP * (after[1] < before[1])))
+
 
+def _own(row_id: int, place: int) -> int:
+    return PLACE * place + (((row_id * 31 + place) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 40)
 
-def _step(before: tuple[str, int] | None, after: tuple[str, int] | None) -> float:
-    if before is None or after is None:
-        return 0.0
-    return FORMAT_SWITCH * (before[0] != after[0]) + BACKWARD_JUMP * (after[1] < before[1])
 
+def _arrive(costs: list[int], before: list[tuple[str, int]], record: Record) -> tuple[list[int], list[int]]:
+    """The least cost of each reading of `record` behind the readings before, and the one it comes from."""
+    now, links = [], []
+    for k, c in enumerate(record[1]):
+        totals = [x + _step(b, c) for x, b in zip(costs, before, strict=True)]
+        j = min(range(len(totals)), key=totals.__getitem__)
+        now.append(totals[j] + _own(record[0], k))
+        links.append(j)
+    return now, links
 
-def best_path(runs: list[list[tuple[str, int]]], before: tuple[str, int] | None, after: tuple[str, int] | None) -> list[int]:
-    """Viterbi over a run of ambiguous records between two settled ones; the index chosen for each.
 
-    Ties go to the reading that comes first in the record's array.
+def best_path(records: list[Record], entry: list[int] | None = None, leave: int | None = None) -> list[int]:
+    """Viterbi: the index of the reading chosen for each of records (row_id, readings).
+
+    `entry`: the cost of each reading of the first record; `leave`: the reading of the last one, if known.
     """
-    cost = [_step(before, c) for c in runs[0]]
-    back: list[list[int]] = []
-    for k in range(1, len(runs)):
-        links, now = [], []
-        for c in runs[k]:
-            totals = [cost[j] + _step(b, c) for j, b in enumerate(runs[k - 1])]
-            j = min(range(len(totals)), key=totals.__getitem__)
-            links.append(j)
-            now.append(totals[j])
+    costs = entry if entry is not None else [_own(records[0][0], k) for k in range(len(records[0][1]))]
+    back = []
+    for before, record in zip(records, records[1:], strict=False):
+        costs, links = _arrive(costs, before[1], record)
         back.append(links)
-        cost = now
-    totals = [x + _step(c, after) for x, c in zip(cost, runs[-1], strict=True)]
-    j = min(range(len(totals)), key=totals.__getitem__)
+    j = min(range(len(costs)), key=costs.__getitem__) if leave is None else leave
     path = [j]
     for links in reversed(back):
         j = links[j]
@@ -226,15 +243,107 @@ def best_path(runs: list[list[tuple[str, int]]], before: tuple[str, int] | None,
     return path[::-1]
 
 
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["loaded_us", "row_id"], kind="stable")
-    pair = lambda s: None if s is None else (s["form"], s["utc_us"])
-    runs = [[(c["form"], c["utc_us"]) for c in r] for r in pdf["readings"]]
-    chosen = best_path(runs, pair(pdf["before"].iloc[0]), pair(pdf["after"].iloc[-1]))
-    pdf["form"] = [r[j][0] for r, j in zip(runs, chosen, strict=True)]
-    pdf["utc_us"] = [r[j][1] for r, j in zip(runs, chosen, strict=True)]
-    pdf["n_readings"] = [len(r) for r in runs]
-    return pdf[["tab", "row_id", "n_readings", "form", "utc_us"]]
+def _between(records: list[Record]) -> list[list[int]]:
+    """costs[i][j] of the way from reading i of the first record to reading j of the last one."""
+    out = []
+    for i in range(len(records[0][1])):
+        costs = [0 if k == i else 1 << 60 for k in range(len(records[0][1]))]
+        for before, record in zip(records, records[1:], strict=False):
+            costs, _ = _arrive(costs, before[1], record)
+        out.append(costs)
+    return out
+
+
+class _Block:
+    """The records of a source in one block, in their order."""
+
+    def __init__(self, table: pa.Table) -> None:
+        order = np.lexsort((table["row_id"].to_numpy(), table["loaded_us"].to_numpy()))
+        table = table.take(pa.array(order)).combine_chunks()
+        self.ids = table["row_id"].to_numpy()
+        forms, instants = table["forms"].combine_chunks(), table["instants"].combine_chunks()
+        offsets = instants.offsets.to_numpy()
+        self.start, self.sizes = offsets[:-1], np.diff(offsets)
+        self.flat_forms = forms.values
+        self.flat_instants = instants.values.to_numpy()
+        self.anchors = np.flatnonzero(self.sizes == 1)
+
+    def record(self, i: int) -> Record:
+        a, n = int(self.start[i]), int(self.sizes[i])
+        return int(self.ids[i]), list(zip(self.flat_forms[a : a + n].to_pylist(), self.flat_instants[a : a + n].tolist(), strict=True))
+
+    def records(self, start: int, end: int) -> list[Record]:
+        return [self.record(i) for i in range(start, end + 1)]
+
+
+_ENDS = "source string, block int, first_id bigint, first_forms array<string>, first_instants array<bigint>, last_forms array<string>, last_instants array<bigint>, costs array<bigint>"
+
+
+def _block_ends(table: pa.Table) -> pa.Table:
+    """The ends of a block and the costs between their readings, but for a constant."""
+    b = _Block(table)
+    last = len(b.ids) - 1
+    if len(b.anchors):
+        # every path goes through the anchors, so the costs on both sides of them add up
+        left = _between(b.records(0, int(b.anchors[0])))
+        right = _between(b.records(int(b.anchors[-1]), last))[0]
+        costs = [x[0] + y for x in left for y in right]
+    else:
+        costs = [y for x in _between(b.records(0, last)) for y in x]
+    least = min(costs)
+    costs = [c - least for c in costs]
+    (first_id, first), (_, end) = b.record(0), b.record(last)
+    row = {"source": table["source"][0].as_py(), "block": table["block"][0].as_py(), "first_id": first_id, "costs": costs}
+    row |= {"first_forms": [f for f, _ in first], "first_instants": [u for _, u in first], "last_forms": [f for f, _ in end], "last_instants": [u for _, u in end]}
+    names = [c.split()[0] for c in _ENDS.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table({n: pa.array([row[n]], type=k) for n, k in zip(names, kinds, strict=True)})
+
+
+def _over_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Viterbi over the blocks of a source: the costs at the entry of each, and the reading it leaves by."""
+    pdf = pdf.sort_values("block", kind="stable")
+    firsts = [list(zip(f, u, strict=True)) for f, u in zip(pdf["first_forms"], pdf["first_instants"], strict=True)]
+    lasts = [list(zip(f, u, strict=True)) for f, u in zip(pdf["last_forms"], pdf["last_instants"], strict=True)]
+    costs = [np.asarray(c, dtype=np.int64).reshape(len(a), len(b)) for c, a, b in zip(pdf["costs"], firsts, lasts, strict=True)]
+    ids = pdf["first_id"].tolist()
+    entries, exits, links = [[_own(ids[0], k) for k in range(len(firsts[0]))]], [], []
+    for n in range(len(ids)):
+        through = np.asarray(entries[n])[:, None] + costs[n]
+        # only differences matter, and small numbers don't overflow
+        exits.append((through.min(0) - through.min()).tolist())
+        if n + 1 < len(ids):
+            now, back = _arrive(exits[n], lasts[n], (ids[n + 1], firsts[n + 1]))
+            entries.append(now)
+            links.append(back)
+    leave = [0] * len(ids)
+    j = int(np.argmin(exits[-1]))
+    for n in range(len(ids) - 1, -1, -1):
+        leave[n] = j
+        if n:
+            j = links[n - 1][int(np.argmin(np.asarray(entries[n]) + costs[n][:, j]))]
+    return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "entry": entries, "leave": leave})
+
+
+def _solve(table: pa.Table, known: pa.Table) -> pa.Table:
+    """The reading chosen for every record of a block, its ends known."""
+    b = _Block(table)
+    last = len(b.ids) - 1
+    entry, leave = known["entry"][0].as_py(), known["leave"][0].as_py()
+    chosen = np.zeros(len(b.ids), dtype=np.int64)
+    stops = [int(a) for a in b.anchors]
+    # runs of ambiguous records, with the anchors at their ends
+    edges = sorted({0, last, *stops})
+    for start, end in zip(edges, edges[1:], strict=False):
+        if end - start > 1 or b.sizes[start] > 1 or b.sizes[end] > 1:
+            path = best_path(b.records(start, end), entry if start == 0 else None, leave if end == last else None)
+            chosen[start : end + 1] = path
+    if last == 0:
+        chosen[0] = leave
+    at = pa.array(b.start + chosen)
+    order = np.lexsort((table["row_id"].to_numpy(), table["loaded_us"].to_numpy()))
+    tab = table["tab"].take(pa.array(order))
+    return pa.table({"tab": tab, "row_id": pa.array(b.ids), "n_readings": pa.array(b.sizes.astype(np.int32)), "form": b.flat_forms.take(at), "utc_us": pa.array(b.flat_instants[b.start + chosen])})
 
 
 def normalise(records: DataFrame, zones: DataFrame) -> DataFrame:
@@ -242,39 +351,28 @@ def normalise(records: DataFrame, zones: DataFrame) -> DataFrame:
 
     status is `exact` (the text denotes one instant), `ambiguous` (several; the one on the best path
     is given) or `none` (null, empty, not a time, impossible, or skipped by the clock; utc_us null).
-    A source is a collector's feed of one table, taken month by month of loading, in the order of
-    loaded_at and row id. Repeated rows are kept. Empty tables give an empty result.
+    A source is a collector's feed of one table, in the order of loaded_at (nulls first) and row id.
+    Repeated rows are kept. Empty tables give an empty result.
     """
-    read = read_instants(records, zones).withColumn("n_readings", F.size("readings"))
-    settled = read.where(F.col("n_readings") <= 1).select(
+    read = via_table(read_instants(records, zones), "readings")
+    unread = read.where(F.size("readings") == 0).select("tab", "row_id", F.lit("none").alias("status"), F.lit(0).alias("n_readings"), F.lit(None).cast("string").alias("form"), F.lit(None).cast("bigint").alias("utc_us"))
+    status = F.when(F.col("n_readings") == 1, "exact").otherwise("ambiguous")
+    return unread.unionByName(_on_best_path(read).select("tab", "row_id", status.alias("status"), "n_readings", "form", "utc_us"))
+
+
+def _on_best_path(read: DataFrame) -> DataFrame:
+    """tab, row_id, n_readings, form, utc_us of the reading that Viterbi chooses for each record with any."""
+    source = F.concat("tab", F.lit("/"), F.coalesce(F.concat(F.lit("="), "collector"), F.lit("")))
+    flat = read.where(F.size("readings") > 0).select(
+        source.alias("source"),
         "tab",
         "row_id",
-        F.when(F.col("n_readings") == 1, "exact").otherwise("none").alias("status"),
-        F.col("n_readings").cast("int").alias("n_readings"),
-        F.try_element_at("readings", F.lit(1))["form"].alias("form"),
-        F.try_element_at("readings", F.lit(1))["utc_us"].alias("utc_us"),
-    )
-    return settled.unionByName(_resolve(read))
-
-
-def _resolve(read: DataFrame) -> DataFrame:
-    parts = ["tab", "collector", "month"]
-    so_far = Window.partitionBy(*parts).orderBy("loaded_us", "row_id")
-    to_come = Window.partitionBy(*parts).orderBy(F.desc("loaded_us"), F.desc("row_id"))
-    nearest = lambda w: F.last("anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ordered = (
-        read.where(F.col("n_readings") >= 1)
-        .withColumn("loaded_us", F.coalesce(F.unix_micros("loaded_at"), F.lit(0)))
-        .withColumn("month", F.date_trunc("month", "loaded_at"))
-        .withColumn("anchor", F.when(F.col("n_readings") == 1, F.col("readings")[0]))
-        .withColumn("before", nearest(so_far))
-        .withColumn("run", F.count("anchor").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("after", nearest(to_come))
-    )
-    solved = (
-        ordered.where(F.col("n_readings") > 1)
-        .select("tab", "collector", "month", "run", "row_id", "loaded_us", "readings", "before", "after")
-        .groupBy("tab", "collector", "month", "run")
-        .applyInPandas(_solve, "tab string, row_id bigint, n_readings int, form string, utc_us bigint")
+        F.coalesce(F.unix_micros("loaded_at"), F.lit(-(2**62))).alias("loaded_us"),
+        F.col("readings.form").alias("forms"),
+        F.col("readings.utc_us").alias("instants"),
     )
-    return solved.select("tab", "row_id", F.lit("ambiguous").alias("status"), "n_readings", "form", "utc_us")
+    blocks = in_blocks(flat, ["source"], ["loaded_us", "row_id"])
+    ends = blocks.groupBy("source", "block").applyInArrow(_block_ends, _ENDS)
+    known = ends.groupBy("source").applyInPandas(_over_blocks, "source string, block int, entry array<bigint>, leave int")
+    together = blocks.groupBy("source", "block").cogroup(known.groupBy("source", "block"))
+    return together.applyInArrow(_solve, "tab string, row_id bigint, n_readings int, form string, utc_us bigint")

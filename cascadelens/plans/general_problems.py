@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cascadelens.operators import hierarchy, nested, orphans, timestamps
+from cascadelens.plans import instants_sql
 from cascadelens.tables import table
 
 
@@ -158,6 +159,7 @@ judged AS (
 """
 
 ORACLE = {
+    "p1_found": instants_sql.FOUND,
     "p3_found": _JSON_NODES + "SELECT raw_id, node_path, match_pos FROM hit",
     "p3_matches": _JSON_NODES
     + """SELECT raw_id, node_path, match_pos, coalesce(m ->> '$.vulnerable' = 'true', false) AS vulnerable, m ->> '$.cpe23Uri' AS cpe23uri,

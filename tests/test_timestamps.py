@@ -66,20 +66,38 @@ def test_the_path_follows_the_neighbours(spark):
     assert run(spark, rows)[1]["utc_us"] == us(2021, 10, 31, 1, 30)
 
 
+def cost_of(records, path):
+    chain = [r[1][j] for r, j in zip(records, path, strict=True)]
+    return sum(ts._step(x, y) for x, y in zip(chain, chain[1:], strict=False))
+
+
+def random_records(rng, n, most=3):
+    return [(i, [(rng.choice("ab"), rng.randrange(6)) for _ in range(rng.randint(1, most))]) for i in range(n)]
+
+
 def test_viterbi_is_the_best_of_all_paths():
     rng = random.Random(3)
     for _ in range(200):
-        runs = [[(rng.choice("ab"), rng.randrange(4)) for _ in range(rng.randint(2, 3))] for _ in range(rng.randint(1, 5))]
-        before, after = rng.choice([None, ("a", 1)]), rng.choice([None, ("b", 2)])
-
-        def cost(path):
-            chain = [before, *[r[j] for r, j in zip(runs, path, strict=True)], after]
-            return sum(ts._step(x, y) for x, y in zip(chain, chain[1:], strict=False))
-
+        records = random_records(rng, rng.randint(1, 6))
         paths = [[]]
-        for r in runs:
+        for _, r in records:
             paths = [p + [j] for p in paths for j in range(len(r))]
-        assert cost(ts.best_path(runs, before, after)) == min(map(cost, paths))
+        assert cost_of(records, ts.best_path(records)) == min(cost_of(records, p) for p in paths)
+
+
+def test_blocks_give_the_path_of_the_whole_source(spark):
+    """The same path, however a source is cut; one source has most of the rows."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    sources = {"big": random_records(rng, 400, 4), "small": random_records(rng, 7), None: [(i, [("a", i), ("b", i)]) for i in range(60)]}
+    rows = [("t", 1000 * k + i, c, dt.datetime(2020, 1, 1) + dt.timedelta(minutes=i // 3), r) for k, (c, records) in enumerate(sources.items()) for i, (_, r) in enumerate(records)]
+    df = spark.createDataFrame(rows, "tab string, row_id bigint, collector string, loaded_at timestamp, readings array<struct<form:string,utc_us:bigint>>")
+    got = {r["row_id"]: (r["form"], r["utc_us"]) for r in ts._on_best_path(df).collect()}
+    for k, (_, records) in enumerate(sources.items()):
+        moved = [(1000 * k + i, r) for i, r in records]
+        assert [got[i] for i, _ in moved] == [r[j] for (_, r), j in zip(moved, ts.best_path(moved), strict=True)]
+    assert df.where(F.size("readings") > 1).count() > 200
 
 
 def test_random_wall_clocks(spark):

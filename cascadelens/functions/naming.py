@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Folders of tests and examples, endings of sources and headers.
+# Folders of tests and examples, endings of sources and headers, the form of a CPE name.
 TEST_NAMES = ["test", "example", "examples", "demo", "simd", "docs", "doc", "documents", "document"]
 SOURCE_ENDINGS = r"\.(cc|c|cpp|cxx|c\+\+|cp|cci)$"
 HEADER_ENDINGS = r"\.(h|hpp)$"
 LIBRARY_ENDINGS = r"\.(c|cpp|cc|cxx|h|hpp)$"
 PRUNED_FOLDERS = ["build", "test", "tests", "doc", "docs"]
+CPE = r"^cpe:2\.3:([aho]):([^:]+):([^:]+):([^:]+)"
 
 
 def cpe_part(uri: Column, index: int) -> Column:
@@ -20,8 +21,7 @@ def cpe_part(uri: Column, index: int) -> Column:
 
 def parsed_cpe(uri: Column) -> Column:
     """struct(part, vendor, product, version), null parts where the name doesn't match."""
-    form = r"^cpe:2\.3:([aho]):([^:]+):([^:]+):([^:]+)"
-    part = lambda i: F.when(uri.rlike(form), F.regexp_extract(uri, form, i))
+    part = lambda i: F.when(uri.rlike(CPE), F.regexp_extract(uri, CPE, i))
     return F.struct(part(1).alias("part"), part(2).alias("vendor"), part(3).alias("product"), part(4).alias("version"))
 
 

@@ -35,8 +35,8 @@ def is_valid(version: Column) -> Column:
 
 def dependency(version: Column) -> Column:
     """struct(kind `^`, `~` or null, base, full) of a version condition."""
-    caret, tilde = r"^\^(\d+)\.(\d+)(\.\d+)?", r"^~(\d+\.\d+)(\.\d+)?"
-    full = F.substring(version, 2, 1000000)
+    caret, tilde = r"^\^(\d+)\.(\d+)(\.\d+)?$", r"^~(\d+\.\d+)(\.\d+)?$"
+    full = F.regexp_replace(version, "^.", "")
     kind = F.when(version.rlike(caret), "^").when(version.rlike(tilde), "~")
     base = F.when(kind == "^", F.regexp_extract(version, caret, 1)).when(kind == "~", F.regexp_extract(version, tilde, 1)).otherwise(version)
     rest = F.when(kind == "^", F.regexp_extract(full, r"^(\d+\.\d+(?:\.\d+)?)", 1)).when(kind == "~", F.regexp_extract(full, r"^(\d+\.\d+(?:\.\d+)?)", 1)).otherwise(version)
@@ -50,6 +50,12 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(x < y, -1).otherwise(1)
 
 
+def sort_key(tag: Column) -> Column:
+    """A text that sorts like the version in a tag: numbers by value, the rest by letters."""
+    parts = F.regexp_extract_all(tag, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x)), "")
+
+
 def satisfies(version: Column, kind: Column, base: Column, op: Column, wanted: Column) -> Column:
     """Whether a version meets a condition; operators compare as texts."""
     return (

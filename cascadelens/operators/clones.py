@@ -71,3 +71,10 @@ def reuse_relations(rates: DataFrame, stats: DataFrame | None = None, base: floa
     else:
         judged = rates.join(stats, "repo_b", "left").withColumn("adaptive_threshold", F.coalesce(adaptive_threshold(F.col("reused"), F.col("functions"), base), F.lit(base)))
     return judged.where(F.col("reuse_rate") >= F.greatest(F.lit(base), F.col("adaptive_threshold"))).select("repo_a", "repo_b", "common", "total", "reuse_rate", "adaptive_threshold")
+
+
+def reuse_statistics(functions: DataFrame, rates: DataFrame) -> DataFrame:
+    """repo_b, functions, reused: how many functions a repository has, and how many functions of others are reuses of it."""
+    size = functions.groupBy(F.col("repo").alias("repo_b")).agg(F.count(F.lit(1)).alias("functions"))
+    taken = rates.groupBy("repo_b").agg(F.sum("common").alias("reused"))
+    return size.join(taken, "repo_b", "left").select("repo_b", "functions", F.coalesce("reused", F.lit(0)).alias("reused"))

@@ -77,15 +77,17 @@ def pagerank(edges: DataFrame, source: str, target: str, weight: str, alpha: flo
     return rank.select("id", "rank")
 
 
-def paths_from(edges: DataFrame, source: str, target: str, roots: DataFrame, most_levels: int = 10_000) -> DataFrame:
+def paths_from(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataFrame:
     """root, id, level, path (array) of every path from the roots(id), which doesn't meet itself.
 
-    One row a path: a node reached in two ways comes twice. `most_levels` ends graphs without end.
+    One row a path: a node reached in two ways comes twice. Paths are of any length; as none meets
+    itself, they end.
     """
     links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null").distinct())
     front = cut_lineage(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.array("id").alias("path")).distinct())
-    out = front
-    for level in range(1, most_levels + 1):
+    out, level = front, 0
+    while True:
+        level += 1
         step = front.select("root", F.col("id").alias("s"), "path").join(links, "s").where(~F.array_contains("path", F.col("x")))
         front = cut_lineage(step.select("root", F.col("x").alias("id"), F.lit(level).alias("level"), F.concat("path", F.array("x")).alias("path")))
         if front.isEmpty():
@@ -94,6 +96,52 @@ def paths_from(edges: DataFrame, source: str, target: str, roots: DataFrame, mos
     return out
 
 
+def reach(edges: DataFrame, source: str, target: str, roots: DataFrame) -> DataFrame:
+    """root, id, depth, path of every id that the roots(id) are reached from, along reversed edges.
+
+    The closure in rounds: only ids found in the last round go on, and those known already are left
+    out, so loops end it. depth is the least number of edges, path the least of the shortest ways, from
+    the root to the id; a root is reached by itself with depth 0. Null ends are no edges.
+    """
+    links = via_table(edges.select(F.col(source).alias("up"), F.col(target).alias("id")).where("up is not null and id is not null and up <> id").distinct(), "links")
+    front = via_table(roots.where("id is not null").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct(), "reached")
+    out = [front]
+    while True:
+        step = front.join(links, "id").select("root", F.col("up").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("up")).alias("path"))
+        # of an id of this round the least path; those of earlier rounds are nearer
+        best = step.groupBy("root", "id").agg(F.min("depth").alias("depth"), F.min("path").alias("path"))
+        for known in out:
+            best = best.join(known.select("root", "id"), ["root", "id"], "left_anti")
+        front = via_table(best, "reached")
+        if front.isEmpty():
+            break
+        out.append(front)
+        if len(out) > 8:
+            # few tables to compare with, however many rounds there are
+            out = [via_table(_union(out), "reached")]
+    return _union(out)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def propagate(affected: DataFrame, edges: DataFrame, source: str, target: str) -> DataFrame:
+    """cve_id, id, depth, path: what each vulnerability reaches through reuse.
+
+    `affected`: cve_id, id. An edge source -> target says that source reuses target, so the source is
+    affected too. The closure is built once for each distinct affected id, and vulnerabilities are
+    joined to it; an id reached from several affected ones has the nearest, then the least path.
+    """
+    hit = via_table(affected.where("cve_id is not null and id is not null").select("cve_id", "id").distinct(), "affected")
+    found = reach(edges, source, target, hit.select("id").distinct())
+    every = hit.select("cve_id", F.col("id").alias("root")).join(found, "root")
+    return every.groupBy("cve_id", "id").agg(F.min(F.struct("depth", "path")).alias("b")).select("cve_id", "id", "b.depth", "b.path")
+
+
 def dependents_by_level(edges: DataFrame, source: str, target: str) -> DataFrame:
     """root, paths_1..paths_3 (1 is the root itself), dependents_1..dependents_3 (distinct, by reverse hops)."""
     links = edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null and s <> x").distinct()
@@ -236,6 +284,35 @@ def count_cycles(pairs: list[tuple]) -> dict[tuple, int]:
     return counts
 
 
+def greedy_cut(pairs: list[tuple]) -> list[tuple]:
+    """The edges taken out, in order, until no cycle is left: each time one that is on most simple cycles, ties by least."""
+    left, taken = set(pairs), []
+    while counts := count_cycles(sorted(left)):
+        edge = min(counts, key=lambda e: (-counts[e], e))
+        left.remove(edge)
+        taken.append(edge)
+    return taken
+
+
+def without_cycles(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """s, x, removed, turn of every distinct edge: a greedy cut of all cycles.
+
+    Each time the edge on most simple cycles of its strongly connected part is taken out; `turn` is its
+    number within the part from 1, null for edges that stay. Parts don't share cycles, so each is cut by
+    itself, in a task that holds its edges; loops on one node are taken out with turn 1.
+    """
+    links = _group_strong(edges, source, target)
+    kinds = [links.schema[c].dataType.simpleString() for c in ("s", "x")]
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken = greedy_cut(list(zip(pdf["s"], pdf["x"], strict=True)))
+        return pd.DataFrame([(*e, i) for i, e in enumerate(taken, 1)], columns=["s", "x", "turn"])
+
+    every = edges.select(F.col(source).alias("s"), F.col(target).alias("x")).where("s is not null and x is not null").distinct()
+    taken = links.groupBy("part").applyInPandas(cut, f"s {kinds[0]}, x {kinds[1]}, turn int").unionByName(every.where("s = x").withColumn("turn", F.lit(1)))
+    return every.join(taken, ["s", "x"], "left").select("s", "x", F.col("turn").isNotNull().alias("removed"), "turn")
+
+
 def cycle_edges(edges: DataFrame, source: str, target: str) -> DataFrame:
     """s, x, n_cycles: how many simple cycles, of any length, each edge is on; a loop on one node is a cycle of one edge.
 

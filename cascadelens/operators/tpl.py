@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cascadelens.functions.naming import path_segments
 
-# Folders that say nothing of a function's origin, folders of foreign code.
+# Folders that say nothing of a function's origin, folders of foreign code, and the limits
+# of recall, of the ratio of centralities, and of in-degree.
 BLACK_SET = ["src", "external", "third_party", "3rdparty", "extern", "common", "tests", "thirdparty", "modules", "third-part", "deps", "source", "components", "extra"]
 EXTERN_FLAG = ["external", "third_party", "3rdparty", "extern", "components", "third-party", "thirdparty", "deps"]
 THETA, CENTRALITY_LIMIT, IN_DEGREE_LIMIT = 0.01, 1.5, 5.0

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cascadelens.functions import digest
 from cascadelens.functions import hashing as H
 from cascadelens.functions import naming as N
 from cascadelens.functions import text as T
 from cascadelens.functions import version as V
 from cascadelens.operators import clones, graph, knowledge, nested, tpl
-from cascadelens.session import via_table
+from cascadelens.operators.ordered import along
+from cascadelens.plans.instants_sql import instants
+from cascadelens.session import scratch_path, spread, via_table
+from cascadelens.sources import files, parser, sinks
 from cascadelens.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,12 +110,39 @@ def x5_functions_in_source(spark: SparkSession, d: str) -> DataFrame:
     return found.where(F.length(F.regexp_replace("func", r"^\s+|\s+$", "")) >= 50).select("fs_id", (F.col("p") + 1).alias("pos"), "func")
 
 
-@query(f"SELECT fs_id, pos, func, CAST(length(left(content, strpos(content, func) - 1)) - length(replace(left(content, strpos(content, func) - 1), chr(10), '')) + 1 AS INT) AS line_no FROM ({_X5}) JOIN function_signature USING (fs_id)")
+_X6 = r"""WITH RECURSIVE f AS (SELECT fs_id, content, regexp_extract_all(content, '(?:^|\n)([a-zA-Z_][a-zA-Z0-9_]*\s+[a-zA-Z_][a-zA-Z0-9_]*\s*\([^)]*\)\s*\{[^}]*\})', 0) AS list FROM function_signature),
+spot AS (SELECT fs_id, content, list, 1 AS k, strpos(content, list[1]) AS p FROM f WHERE len(list) > 0
+  UNION ALL SELECT fs_id, content, list, k + 1, p + length(list[k]) - 1 + strpos(substr(content, p + length(list[k])), list[k + 1]) FROM spot WHERE k < len(list)),
+put AS (SELECT fs_id, k, ltrim(list[k], chr(10)) AS func, left(content, p - 1 + length(list[k]) - length(ltrim(list[k], chr(10)))) AS before FROM spot)
+SELECT fs_id, CAST(k AS INT) AS pos, func, CAST(length(before) - length(replace(before, chr(10), '')) + 1 AS INT) AS line_no FROM put"""
+
+
+@query(_X6)
 def x6_line_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Line on which each extracted function begins (the first of equal ones counts)."""
-    f = _functions(spark, d).select("fs_id", "content", F.posexplode(T.extracted_functions(F.col("content"))).alias("p", "func"))
-    before = F.substring("content", F.lit(1), F.instr(F.col("content"), F.col("func")) - 1)
-    return f.select("fs_id", (F.col("p") + 1).alias("pos"), "func", (F.length(before) - F.length(F.regexp_replace(before, "\n", "")) + 1).alias("line_no"))
+    """Line on which each extracted function begins; of equal ones each has its own."""
+    f = _functions(spark, d).select("fs_id", F.posexplode(T.placed_functions(F.col("content"))).alias("p", "f"))
+    return f.select("fs_id", (F.col("p") + 1).alias("pos"), "f.func", "f.line_no")
+
+
+@query()
+def x22_parsed_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions by matching brackets, with name, first line and hash."""
+    return parser.functions_in(spread(_functions(spark, d).select("fs_id", "content")), "fs_id", "content")
+
+
+@query()
+def x20_macros(spark: SparkSession, d: str) -> DataFrame:
+    """String macros and stringizing macros of each text, and the text with the former replaced."""
+    return parser.replaced_macros(spread(_functions(spark, d).select("fs_id", "content")), "fs_id", "content")
+
+
+@query()
+def x19_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Locality-sensitive digest of each text, and its distance from that of the text before it in its file."""
+    f = via_table(digest.digests(spread(_functions(spark, d).select("fs_id", "content", "file_path", "repo_name"))), "digests")
+    near = along(f, ["repo_name", "file_path"], ["fs_id"], lag={"before": "digest"})
+    far = digest.distance(F.col("digest"), F.col("before"))
+    return near.select("fs_id", "digest", far.alias("distance"), digest.is_similar(far).alias("similar"))
 
 
 @query(f"WITH {_SIM} SELECT fs_id, fingerprint FROM sim")
@@ -131,10 +162,25 @@ def x16_clean_hash(spark: SparkSession, d: str) -> DataFrame:
     return _functions(spark, d).where("content is not null").select("fs_id", c.alias("cleaned"), lines.alias("n_lines"), F.sha2("content", 256).alias("raw_hash"), F.sha2(T.normalized(c), 256).alias("norm_hash"))
 
 
-@query("SELECT fs_id, length(content) AS n_chars FROM function_signature")
+_HUGE = "content || repeat('0x1f, ', 9999 + fs_id % 3) || 'end' || CASE WHEN fs_id % 7 = 0 THEN '# E-mail..................: [Ciph3r_blackhat@yahoo.com]' ELSE '' END"
+
+
+@query(
+    f"""SELECT fs_id, CASE WHEN fs_id % 7 = 0 THEN 0 WHEN fs_id % 3 = 0 THEN length(t) ELSE length(regexp_replace(content, '[0-9a-fA-FxX\\s]+$', '')) + 4 END AS n_chars,
+    md5(CASE WHEN fs_id % 7 = 0 THEN '' WHEN fs_id % 3 = 0 THEN t ELSE regexp_replace(content, '[0-9a-fA-FxX\\s]+$', '') || ' end' END) AS digest FROM (SELECT fs_id, content, {_HUGE} AS t FROM function_signature)"""
+)
 def x21_huge_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """Length after huge constant arrays are taken out (none is that long here)."""
-    return _functions(spark, d).select("fs_id", F.length(T.without_huge_arrays(F.col("content"))).cast("bigint").alias("n_chars"))
+    """What is left of each text behind which 9,999 to 10,001 constants, and every seventh time the mark, are put."""
+    end = F.when(F.col("fs_id") % 7 == 0, F.lit(T.BLACKLISTED)).otherwise("")
+    longer = F.concat("content", F.repeat(F.lit("0x1f, "), (F.lit(9999) + F.col("fs_id") % 3).cast("int")), F.lit("end"), end)
+    left = T.without_huge_arrays(F.col("t"))
+    return _functions(spark, d).select("fs_id", longer.alias("t")).select("fs_id", F.length(left).cast("bigint").alias("n_chars"), F.md5(left.cast("binary")).alias("digest"))
+
+
+@query("SELECT fs_id, printf('%02dh %02dm %02ds', fs_id * 37 // 3600, fs_id * 37 // 60 % 60, fs_id * 37 % 60) AS spent FROM function_signature")
+def x28_durations(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds as hours, minutes and seconds."""
+    return _functions(spark, d).select("fs_id", T.duration(F.col("fs_id") * 37).alias("spent"))
 
 
 # ---- versions, CPE names, paths ------------------------------------------------------------------------
@@ -151,7 +197,7 @@ def x8_version_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DEP = r"""SELECT reuse_id, src_id, dst_id, version_op, version AS want,
-  CASE WHEN regexp_matches(version, '^\^(\d+)\.(\d+)(\.\d+)?') THEN '^' WHEN regexp_matches(version, '^~(\d+\.\d+)(\.\d+)?') THEN '~' END AS kind FROM reuses"""
+  CASE WHEN regexp_matches(version, '^\^(\d+)\.(\d+)(\.\d+)?$') THEN '^' WHEN regexp_matches(version, '^~(\d+\.\d+)(\.\d+)?$') THEN '~' END AS kind FROM reuses"""
 _DEP = rf"""SELECT *, CASE kind WHEN '^' THEN regexp_extract(want, '^\^(\d+)', 1) WHEN '~' THEN regexp_extract(want, '^~(\d+\.\d+)', 1) ELSE want END AS base,
   CASE WHEN kind IS NOT NULL THEN regexp_extract(substr(want, 2), '^(\d+\.\d+(?:\.\d+)?)', 1) ELSE want END AS full_version FROM ({_DEP})"""
 
@@ -168,10 +214,8 @@ def x9_version_dependency(spark: SparkSession, d: str) -> DataFrame:
 )
 def x12_compare_versions(spark: SparkSession, d: str) -> DataFrame:
     """Each version against the one delivered before it in its repository."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("author", "repo_name").orderBy("lv_id")
-    n = table(spark, d, "lib_version").select("lv_id", "version", F.lag("version").over(w).alias("other")).where("other is not null and version is not null")
+    rows = table(spark, d, "lib_version").select("author", "repo_name", "lv_id", "version")
+    n = along(rows, ["author", "repo_name"], ["lv_id"], lag={"other": "version"}).where("other is not null and version is not null")
     return n.select("lv_id", "other", "version", V.compare(F.col("other"), F.col("version")).alias("cmp"))
 
 
@@ -234,13 +278,32 @@ def f3_reuse_relations(spark: SparkSession, d: str) -> DataFrame:
     return clones.reuse_relations(clones.reuse_rates(f, clones.similar_functions(f, f)))
 
 
-@query("SELECT repo_b, reused, functions, CASE WHEN reused > 0 THEN greatest(0.01, least(1.0, functions / reused)) ELSE 0.1 END AS threshold FROM (SELECT coalesce(author, 'None') || '%' || repo_name AS repo_b, count(*) FILTER (WHERE birth_time IS NULL) AS reused, count(*) AS functions FROM function_signature GROUP BY 1)")
+_STATS = """stats AS (SELECT repo AS repo_b, functions, coalesce(reused, 0) AS reused FROM (SELECT repo, count(*) AS functions FROM funcs GROUP BY 1) LEFT JOIN (SELECT repo_b AS repo, sum(common)::BIGINT AS reused FROM rates GROUP BY 1) USING (repo)),
+judged AS (SELECT *, CASE WHEN reused > 0 THEN greatest(0.01::DOUBLE, least(1.0::DOUBLE, functions / reused)) ELSE 0.1::DOUBLE END AS threshold FROM stats)"""
+
+
+@query(f"WITH {_FUNCS}, {_MATCH}, {_STATS} SELECT repo_b, reused, functions, threshold FROM judged")
 def a3_adaptive_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Statistics of a repository and the threshold they give (A3, A4)."""
-    s = _functions(spark, d).groupBy(N.repo_key(F.col("author"), F.col("repo_name")).alias("repo_b")).agg(F.count(F.when(F.col("birth_time").isNull(), 1)).alias("reused"), F.count(F.lit(1)).alias("functions"))
+    """Reuses of each repository's functions by others, and the threshold they give (A3, A4)."""
+    f = _clone_functions(spark, d)
+    s = clones.reuse_statistics(f, clones.reuse_rates(f, clones.similar_functions(f, f)))
     return s.withColumn("threshold", clones.adaptive_threshold(F.col("reused"), F.col("functions")))
 
 
+@query(f"WITH {_FUNCS}, {_MATCH}, {_STATS} SELECT r.*, threshold AS adaptive_threshold FROM rates r JOIN judged USING (repo_b) WHERE reuse_rate >= greatest(0.1::DOUBLE, threshold)")
+def f3_adapted_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Reuse relations at the thresholds that the statistics of these very matches give."""
+    f = _clone_functions(spark, d)
+    rates = via_table(clones.reuse_rates(f, clones.similar_functions(f, f)), "rates")
+    return clones.reuse_relations(rates, clones.reuse_statistics(f, rates))
+
+
+@query(f"SELECT tpl, func, arg_max(file_path, fs_id) AS last_path, count(*) AS n FROM (SELECT coalesce(author, 'None') || '%' || repo_name AS tpl, fs_id, file_path, sha256(regexp_replace({_X16}, '[\\s{{}}]', '', 'g')) AS func FROM function_signature WHERE content IS NOT NULL) GROUP BY 1, 2")
+def a22_signature_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of a library by the hash of their normalised text; the last path wins."""
+    return _hashed(spark, d).groupBy("tpl", "func").agg(F.max_by("path", "fs_id").alias("last_path"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT author, repo_name, count(*) AS n_functions, count(DISTINCT md5_hash) AS n_hashes, count(DISTINCT file_path) AS n_files, CAST(epoch_us(min(birth_time)) AS VARCHAR) AS first_birth_us FROM function_signature GROUP BY 1, 2")
 def a1_library_counts(spark: SparkSession, d: str) -> DataFrame:
     """The feature library in numbers."""
@@ -261,7 +324,7 @@ def f8_sbom_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- libraries -----------------------------------------------------------------------------------------
-_SIG = "sig AS (SELECT coalesce(author, 'None') || '%' || repo_name AS tpl, md5_hash AS func, birth_time AS time, file_path AS path FROM function_signature WHERE md5_hash IS NOT NULL)"
+_SIG = f"sig AS (SELECT coalesce(author, 'None') || '%' || repo_name AS tpl, sha256(regexp_replace({_X16}, '[\\s{{}}]', '', 'g')) AS func, birth_time AS time, file_path AS path FROM function_signature WHERE content IS NOT NULL)"
 _BIRTH = f"""{_SIG}, birth AS (SELECT func, tpl, o.time AS born, o.path AS path FROM (SELECT func, tpl, arg_min(struct_pack(time := time, path := path), (time IS NULL, time, path)) AS o FROM sig GROUP BY 1, 2)),
 nm AS (SELECT DISTINCT tpl, lower(split_part(tpl, '%', 2)) AS tpl_name FROM sig)"""
 _EXT, _BLACK = ", ".join(f"'{x}'" for x in tpl.EXTERN_FLAG), ", ".join(f"'{x}'" for x in tpl.BLACK_SET)
@@ -283,9 +346,15 @@ _EDGES = f"""{_REUSED}, joined AS (
 kept AS (SELECT e.* FROM edges e LEFT JOIN edges b ON b.s = e.x AND b.x = e.s WHERE b.n IS NULL OR e.n > b.n)"""
 
 
+def _hashed(spark: SparkSession, d: str) -> DataFrame:
+    """tpl, func (hash of the normalised text), time, path, fs_id of every function with a text."""
+    f = spread(_functions(spark, d).where("content is not null").select("fs_id", "author", "repo_name", "birth_time", "file_path", "content"))
+    func = F.sha2(T.normalized(T.without_comments(F.col("content"))), 256)
+    return f.select(N.repo_key(F.col("author"), F.col("repo_name")).alias("tpl"), func.alias("func"), F.col("birth_time").alias("time"), F.col("file_path").alias("path"), "fs_id")
+
+
 def _signatures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = _functions(spark, d).where("md5_hash is not null")
-    sig = f.select(N.repo_key(F.col("author"), F.col("repo_name")).alias("tpl"), F.col("md5_hash").alias("func"), F.col("birth_time").alias("time"), F.col("file_path").alias("path"))
+    sig = via_table(_hashed(spark, d).drop("fs_id"), "signatures")
     births = tpl.first_seen(sig)
     names = sig.select("tpl", F.lower(F.split_part("tpl", F.lit("%"), F.lit(2))).alias("tpl_name")).distinct()
     return births, names
@@ -347,17 +416,23 @@ def a11_in_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.in_degree_centrality(e, "s", "x", "w").select("id", F.round("in_degree", 9).alias("in_degree"))
 
 
-@query()
+# rounds enough for the digits given; a node without outgoing edges leads to all
+_RANKS = f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT s AS id FROM kept UNION SELECT x FROM kept), total AS (SELECT s, sum(n / n_x) AS t FROM kept GROUP BY 1), size AS (SELECT count(*) AS k FROM ids),
+ways AS (SELECT a.id AS s, b.id AS x, 0.15 / k + 0.85 * CASE WHEN t IS NULL THEN 1.0 / k ELSE coalesce(w, 0) / t END AS p FROM ids a, ids b, size LEFT JOIN total ON total.s = a.id LEFT JOIN (SELECT s, x, sum(n / n_x) AS w FROM kept GROUP BY 1, 2) e ON e.s = a.id AND e.x = b.id),
+rank AS (SELECT 0 AS turn, id, 1.0::DOUBLE / k AS r FROM ids, size UNION ALL SELECT turn + 1, x, sum(r * p) FROM rank JOIN ways ON s = id WHERE turn < 200 GROUP BY turn, x)"""
+
+
+@query(f"{_RANKS} SELECT id, round(r, 6) AS rank FROM rank WHERE turn = 200")
 def a12_pagerank(spark: SparkSession, d: str) -> DataFrame:
     e = _dependencies(spark, d).withColumn("w", F.col("n") / F.col("n_x"))
-    return graph.pagerank(e, "s", "x", "w").select("id", F.round("rank", 9).alias("rank"))
+    return graph.pagerank(e, "s", "x", "w").select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+@query(f"{_RANKS}, degree AS (SELECT id, coalesce(w, 0) / nullif((SELECT k - 1 FROM size), 0) AS d FROM ids LEFT JOIN (SELECT x AS id, sum(n / n_x) AS w FROM kept GROUP BY 1) USING (id)) SELECT k.s AS origin_tpl_uuid, k.x AS reuse_tpl_uuid FROM kept k JOIN degree a ON a.id = k.s JOIN degree b ON b.id = k.x JOIN rank r ON r.id = k.x AND turn = 200 WHERE NOT coalesce(a.d > 0.05 AND r.r / nullif(b.d, 0) > 0.5, false)")
 def f19_pruned_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Dependencies after pruning by centrality (F19, SK6's columns)."""
+    """Dependencies after pruning by centrality, at limits low enough that some go (F19, SK6's columns)."""
     e = via_table(_dependencies(spark, d).withColumn("w", F.col("n") / F.col("n_x")), "edges")
-    kept = tpl.prune_by_centrality(e, graph.in_degree_centrality(e, "s", "x", "w"), graph.pagerank(e, "s", "x", "w"))
+    kept = tpl.prune_by_centrality(e, graph.in_degree_centrality(e, "s", "x", "w"), graph.pagerank(e, "s", "x", "w"), in_degree=0.05, ratio=0.5)
     return kept.select(F.col("s").alias("origin_tpl_uuid"), F.col("x").alias("reuse_tpl_uuid"))
 
 
@@ -398,33 +473,72 @@ def g3_top_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.top_dependents(graph.dependents_by_level(table(spark, d, "reuses"), "src_id", "dst_id"))
 
 
-@query()
+# every simple cycle, from its least id
+_CYCLES = f"""WITH RECURSIVE {_LINKS}, walk AS (SELECT s AS top, x AS id, [s, x] AS path FROM links WHERE x >= s
+  UNION ALL SELECT top, x, list_append(path, x) FROM walk JOIN links ON s = id WHERE id <> top AND x >= top AND (x = top OR NOT list_contains(path, x))),
+ring AS (SELECT path, unnest(range(1, len(path))) AS i FROM walk WHERE id = top)"""
+
+
+@query(f"{_CYCLES} SELECT path[i] AS s, path[i + 1] AS x, count(*) AS n_cycles FROM ring GROUP BY 1, 2")
 def g5_cycle_edges(spark: SparkSession, d: str) -> DataFrame:
     """How many simple cycles each edge is on."""
     return graph.cycle_edges(table(spark, d, "reuses"), "src_id", "dst_id")
 
 
 @query()
+def g5_without_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that a greedy cut of all cycles takes out, and those it leaves."""
+    return graph.without_cycles(table(spark, d, "reuses"), "src_id", "dst_id")
+
+
+@query(f"WITH RECURSIVE {_LINKS}, both_ways AS (SELECT s AS a, x AS b FROM links UNION SELECT x, s FROM links), ids AS (SELECT a AS id FROM both_ways), near AS (SELECT id, id AS component FROM ids UNION SELECT b, component FROM near JOIN both_ways ON a = id) SELECT id, min(component) AS component FROM near GROUP BY 1")
 def g8_components(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of the reuse graph."""
     return graph.connected_components(table(spark, d, "reuses"), "src_id", "dst_id")
 
 
 # ---- knowledge graph -----------------------------------------------------------------------------------
-_CHAIN = """firsts AS (SELECT author, repo_name, version, arg_min(struct_pack(tag := tag, commit_date := commit_date, lv_id := lv_id), (commit_date IS NULL, commit_date, lv_id)) AS f FROM lib_version GROUP BY 1, 2, 3),
+_LIB_DATES = instants("SELECT 'lib_version' AS tab, lv_id AS row_id, commit_date AS txt, collector, loaded_at FROM lib_version")
+_CHAIN = f"""{_LIB_DATES}, dated AS (SELECT l.*, readings[1] AS at_us FROM lib_version l LEFT JOIN inst ON row_id = lv_id),
+firsts AS (SELECT author, repo_name, version, arg_min(struct_pack(tag := tag, commit_date := commit_date, at_us := at_us, lv_id := lv_id), (at_us IS NULL, at_us, lv_id)) AS f FROM dated GROUP BY 1, 2, 3),
 chain AS (SELECT author, repo_name, version, f.tag AS tag, f.commit_date AS commit_date, f.lv_id AS lv_id, row_number() OVER w AS ord, lead(f.tag) OVER w AS precedes, lag(f.tag) OVER w AS follows
-  FROM firsts WINDOW w AS (PARTITION BY author, repo_name ORDER BY f.commit_date IS NULL, f.commit_date, f.lv_id))"""
+  FROM firsts WINDOW w AS (PARTITION BY author, repo_name ORDER BY f.at_us IS NULL, f.at_us, f.lv_id))"""
+
+
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    return via_table(knowledge.dated_tags(table(spark, d, "lib_version"), table(spark, d, "zone_ref")), "tags")
+
+
+def _chain(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.version_chain(_dated(spark, d))
 
 
 @query(f"WITH {_CHAIN} SELECT author, repo_name, version, tag, commit_date, lv_id FROM chain")
 def w2_first_tags(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.first_tags(table(spark, d, "lib_version"))
+    return knowledge.first_tags(_dated(spark, d)).drop("at")
 
 
 @query(f"WITH {_CHAIN} SELECT * FROM chain")
 def w1_version_chain(spark: SparkSession, d: str) -> DataFrame:
     """PRECEDES and FOLLOWS between the versions of a repository."""
-    return knowledge.version_chain(table(spark, d, "lib_version"))
+    return _chain(spark, d).drop("at")
+
+
+@query("""SELECT lv_id, tag, row_number() OVER w AS place, row_number() OVER w = 1 AS latest FROM (SELECT *, array_to_string(list_transform(regexp_extract_all(tag, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(regexp_replace(x, '^0+([0-9])', '\\1'), 20, '0') ELSE x END), '') AS key FROM lib_version)
+  WINDOW w AS (PARTITION BY author, repo_name ORDER BY key DESC, lv_id)""")
+def sc17_tags_by_version(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of each repository, the latest version first (SC17, T8)."""
+    t = table(spark, d, "lib_version").select("author", "repo_name", "tag", "lv_id", V.sort_key(F.col("tag")).alias("key")).withColumn("turned", -F.col("lv_id"))
+    up = along(t, ["author", "repo_name"], ["key", "turned"], ordinal="n")
+    most = up.groupBy("author", "repo_name").agg(F.max("n").alias("most")).select(F.col("author").alias("_a"), F.col("repo_name").alias("_r"), "most")
+    placed = up.join(most, up["author"].eqNullSafe(most["_a"]) & up["repo_name"].eqNullSafe(most["_r"]))
+    return placed.select("lv_id", "tag", (F.col("most") - F.col("n") + 1).alias("place"), (F.col("most") == F.col("n")).alias("latest"))
+
+
+@query("SELECT author, repo_name, version AS cpe_version, list(tag ORDER BY pos, tag) AS git_tags, arg_min(tag, (pos, tag)) AS first_tag FROM (SELECT author, repo_name, version, tag, min(lv_id) AS pos FROM lib_version WHERE version IS NOT NULL GROUP BY ALL) GROUP BY ALL")
+def a19_tags_of_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of each version in the order of the version map, and the first one."""
+    return knowledge.tags_of_versions(knowledge.mapped_tags(table(spark, d, "lib_version")))
 
 
 @query("SELECT unique_id, arg_max(name, (loaded_at, software_row)) AS name, arg_max(author, (loaded_at, software_row)) AS author FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY loaded_at DESC, software_row DESC) AS k FROM software) WHERE k = 1 AND op <> 'delete' GROUP BY 1")
@@ -451,6 +565,10 @@ def sc12_name_map(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.name_map(table(spark, d, "git2cpe"))
 
 
+_BOUND_NAMES = (("si", "versionStartIncluding"), ("se", "versionStartExcluding"), ("ei", "versionEndIncluding"), ("ee", "versionEndExcluding"))
+_BOUNDS = [f"{column} AS {short}" for short, column in _BOUND_NAMES]
+
+
 def _affects(spark: SparkSession, d: str) -> DataFrame:
     """Matches that count as vulnerable, with the repository of their product."""
     m = nested.configuration_matches(table(spark, d, "nvd_raw"), "raw_id", "doc").where("vulnerable")
@@ -480,22 +598,46 @@ def j4_affects_software(spark: SparkSession, d: str) -> DataFrame:
     return _affects(spark, d).select("raw_id", "author", "repo_name").join(s, ["author", "repo_name"]).select("raw_id", "unique_id").distinct()
 
 
-@query(_json_nodes() + _MATCHED + f", {_CHAIN} SELECT DISTINCT raw_id, c.author, c.repo_name, c.tag FROM aff JOIN chain c ON c.author = aff.author AND c.repo_name = aff.repo_name AND c.version = cpe_version WHERE regexp_full_match(cpe_version, '\\d+(\\.\\d+){{0,2}}') AND coalesce(si, '') = '' AND coalesce(se, '') = '' AND coalesce(ei, '') = '' AND coalesce(ee, '') = ''")
+_AFFECTED = "affects AS (SELECT DISTINCT j ->> '$.cve.CVE_data_meta.ID' AS cve_id, s.unique_id AS id FROM aff JOIN docs USING (raw_id) JOIN software s ON s.name = aff.repo_name AND s.author = aff.author WHERE j ->> '$.cve.CVE_data_meta.ID' IS NOT NULL)"
+
+
+@query(
+    _json_nodes()
+    + _MATCHED
+    + f""", {_AFFECTED}, links AS (SELECT DISTINCT src_id AS up, dst_id AS id FROM reuses WHERE src_id IS NOT NULL AND dst_id IS NOT NULL),
+    reach AS (SELECT cve_id, id, 0 AS depth, [id] AS path FROM affects UNION ALL SELECT cve_id, up, depth + 1, list_append(path, up) FROM reach JOIN links USING (id) WHERE NOT list_contains(path, up))
+    SELECT cve_id, id, CAST(min(depth) AS INT) AS depth, arg_min(path, (depth, path)) AS path FROM reach GROUP BY 1, 2"""
+)
+def g4_propagation(spark: SparkSession, d: str) -> DataFrame:
+    """What each vulnerability reaches: affected software and all that reuses it, with the shortest path."""
+    affects = j4_affects_software(spark, d).join(_records(spark, d).select("raw_id", "cve_id"), "raw_id").select("cve_id", F.col("unique_id").alias("id"))
+    return graph.propagate(affects, table(spark, d, "reuses"), "src_id", "dst_id")
+
+
+@query(
+    _json_nodes()
+    + _MATCHED
+    + f""", named AS (SELECT DISTINCT raw_id, author, repo_name, cpe_version AS version FROM aff WHERE regexp_full_match(cpe_version, '\\d+(\\.\\d+){{0,2}}') AND coalesce(si, '') = '' AND coalesce(se, '') = '' AND coalesce(ei, '') = '' AND coalesce(ee, '') = ''),
+    vmap AS (SELECT DISTINCT author, repo_name, version, tag FROM lib_version WHERE version IS NOT NULL), owner AS (SELECT repo_name, tag, arg_min(author, lv_id) AS author FROM lib_version GROUP BY 1, 2),
+    ex AS (SELECT DISTINCT repo_name, tag, author, {_extract_version_sql("tag")} AS version FROM lib_version)
+    SELECT DISTINCT raw_id, o.author, o.repo_name, o.tag, 'map' AS "by" FROM named n JOIN vmap m ON m.author = n.author AND m.repo_name = n.repo_name AND m.version = n.version JOIN owner o ON o.repo_name = m.repo_name AND o.tag = m.tag
+    UNION SELECT DISTINCT raw_id, ex.author, ex.repo_name, ex.tag, 'extracted' FROM named n JOIN ex ON ex.repo_name = n.repo_name AND ex.version = n.version WHERE NOT EXISTS (SELECT 1 FROM vmap m WHERE m.author = n.author AND m.repo_name = n.repo_name AND m.version = n.version)"""
+)
 def j5_affects_exact(spark: SparkSession, d: str) -> DataFrame:
-    """AFFECTS_VERSION edges of matches that name one version, by the extracted version (J6); no version map is read."""
-    bounds = ["versionStartIncluding", "versionStartExcluding", "versionEndIncluding", "versionEndExcluding"]
-    a = _affects(spark, d).select("raw_id", "author", "repo_name", F.col("p.version").alias("version"), *bounds)
-    for b in bounds:
-        a = a.where(F.coalesce(b, F.lit("")) == "")
-    chain = knowledge.version_chain(table(spark, d, "lib_version")).select("author", "repo_name", "version", "tag")
-    return a.where(V.is_valid(F.col("version"))).join(chain, ["author", "repo_name", "version"]).select("raw_id", "author", "repo_name", "tag").distinct()
+    """AFFECTS_VERSION edges of matches that name one version: by the version map, else by the extracted version."""
+    a = _affects(spark, d).select("raw_id", "author", "repo_name", F.col("p.version").alias("version"), *map(F.expr, _BOUNDS))
+    tags = table(spark, d, "lib_version")
+    return knowledge.affected_exactly(a, tags, knowledge.mapped_tags(tags))
 
 
-_RANGES = f"""{_MATCHED}, {_CHAIN}, b AS (
-  SELECT raw_id || '/' || node_path || '/' || match_pos AS range_id, aff.author, aff.repo_name, coalesce(c1.ord, m1.ord, c2.ord, m2.ord) AS st, coalesce(c1.ord, m1.ord) IS NOT NULL AS si_in, coalesce(c3.ord, m3.ord, c4.ord, m4.ord) AS en, coalesce(c3.ord, m3.ord) IS NOT NULL AS ei_in FROM aff
-  LEFT JOIN chain c1 ON c1.author = aff.author AND c1.repo_name = aff.repo_name AND c1.version = si LEFT JOIN chain m1 ON m1.author = aff.author AND m1.repo_name = aff.repo_name AND m1.version = regexp_extract(si, '^(\\d+\\.\\d+)', 1) LEFT JOIN chain c2 ON c2.author = aff.author AND c2.repo_name = aff.repo_name AND c2.version = se LEFT JOIN chain m2 ON m2.author = aff.author AND m2.repo_name = aff.repo_name AND m2.version = regexp_extract(se, '^(\\d+\\.\\d+)', 1)
-  LEFT JOIN chain c3 ON c3.author = aff.author AND c3.repo_name = aff.repo_name AND c3.version = ei LEFT JOIN chain m3 ON m3.author = aff.author AND m3.repo_name = aff.repo_name AND m3.version = regexp_extract(ei, '^(\\d+\\.\\d+)', 1) LEFT JOIN chain c4 ON c4.author = aff.author AND c4.repo_name = aff.repo_name AND c4.version = ee LEFT JOIN chain m4 ON m4.author = aff.author AND m4.repo_name = aff.repo_name AND m4.version = regexp_extract(ee, '^(\\d+\\.\\d+)', 1)
-), r AS (SELECT range_id, author, repo_name, tag, ord, st, en, si_in, ei_in, (ord > st OR (ord = st AND si_in)) AS up, (ord < en OR (ord = en AND ei_in)) AS down FROM b JOIN chain USING (author, repo_name) WHERE st IS NOT NULL OR en IS NOT NULL)"""
+_RANGES = f"""{_MATCHED}, {_CHAIN}, vmap AS (SELECT author, repo_name, version AS cpe_version, arg_min(tag, (pos, tag)) AS tag FROM (SELECT author, repo_name, version, tag, min(lv_id) AS pos FROM lib_version WHERE version IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+place AS (SELECT v.author, v.repo_name, v.cpe_version, coalesce(t.ord, e.ord) AS ord FROM vmap v LEFT JOIN chain t ON t.author = v.author AND t.repo_name = v.repo_name AND t.tag = v.tag LEFT JOIN chain e ON e.author = v.author AND e.repo_name = v.repo_name AND e.version = {_extract_version_sql("v.tag")}),
+b AS (SELECT DISTINCT raw_id || '/' || node_path || '/' || match_pos AS range_id, aff.author, aff.repo_name, coalesce(si <> '', false) AS si_in, coalesce(ei <> '', false) AS ei_in, coalesce(nullif(si, ''), nullif(se, '')) AS lo, coalesce(nullif(ei, ''), nullif(ee, '')) AS hi FROM aff),
+r AS (SELECT range_id, b.author, b.repo_name, c.tag, c.ord, s1.author IS NOT NULL OR s2.author IS NOT NULL AS has_start, e1.author IS NOT NULL OR e2.author IS NOT NULL AS has_end,
+  CASE WHEN s1.author IS NOT NULL THEN s1.ord ELSE s2.ord END AS st, CASE WHEN e1.author IS NOT NULL THEN e1.ord ELSE e2.ord END AS en, si_in, ei_in,
+  (c.ord > st OR (c.ord = st AND si_in)) AS up, (c.ord < en OR (c.ord = en AND ei_in)) AS down FROM b JOIN chain c ON c.author = b.author AND c.repo_name = b.repo_name
+  LEFT JOIN place s1 ON s1.author = b.author AND s1.repo_name = b.repo_name AND s1.cpe_version = lo LEFT JOIN place s2 ON s2.author = b.author AND s2.repo_name = b.repo_name AND s2.cpe_version = regexp_extract(lo, '^(\\d+\\.\\d+)', 1)
+  LEFT JOIN place e1 ON e1.author = b.author AND e1.repo_name = b.repo_name AND e1.cpe_version = hi LEFT JOIN place e2 ON e2.author = b.author AND e2.repo_name = b.repo_name AND e2.cpe_version = regexp_extract(hi, '^(\\d+\\.\\d+)', 1)), ok AS (SELECT * FROM r WHERE has_start OR has_end)"""
 
 
 def _ranges(spark: SparkSession, d: str, mode: str) -> DataFrame:
@@ -504,18 +646,19 @@ def _ranges(spark: SparkSession, d: str, mode: str) -> DataFrame:
         F.concat_ws("/", F.col("raw_id").cast("string"), "node_path", F.col("match_pos").cast("string")).alias("range_id"),
         "author",
         "repo_name",
-        *[F.col(c).alias(k) for k, c in (("si", "versionStartIncluding"), ("se", "versionStartExcluding"), ("ei", "versionEndIncluding"), ("ee", "versionEndExcluding"))],
+        *map(F.expr, _BOUNDS),
     )
-    return knowledge.affected_by_range(ranges, knowledge.version_chain(table(spark, d, "lib_version")), mode)
+    tags = _dated(spark, d)
+    return knowledge.affected_by_range(ranges, knowledge.version_chain(tags), mode, knowledge.mapped_tags(tags))
 
 
-@query(_json_nodes() + _RANGES + " SELECT DISTINCT range_id, author, repo_name, tag FROM r WHERE CASE WHEN st IS NULL THEN down WHEN en IS NULL OR en < st THEN up WHEN en = st THEN ord = st AND ei_in ELSE ord <= en AND up END")
+@query(_json_nodes() + _RANGES + " SELECT DISTINCT range_id, author, repo_name, tag FROM ok WHERE CASE WHEN NOT has_start THEN down WHEN st IS NULL THEN false WHEN en IS NULL OR en < st THEN up WHEN en = st THEN ord = st AND ei_in ELSE ord <= en AND up END")
 def j7_affected_versions(spark: SparkSession, d: str) -> DataFrame:
     """Versions in the ranges of the matches, with the literal treatment of exclusive ends."""
     return _ranges(spark, d, "literal")
 
 
-@query(_json_nodes() + _RANGES + " SELECT DISTINCT range_id, author, repo_name, tag FROM r WHERE CASE WHEN st IS NULL THEN down WHEN en IS NULL THEN up WHEN en = st AND si_in AND ei_in THEN ord = st ELSE up AND down END")
+@query(_json_nodes() + _RANGES + " SELECT DISTINCT range_id, author, repo_name, tag FROM ok WHERE CASE WHEN NOT has_start THEN down WHEN st IS NULL THEN false WHEN en IS NULL THEN up WHEN en = st AND si_in AND ei_in THEN ord = st ELSE up AND down END")
 def j8_affected_versions_intended(spark: SparkSession, d: str) -> DataFrame:
     """Versions in the ranges of the matches, as half-open intervals."""
     return _ranges(spark, d, "intended")
@@ -527,7 +670,7 @@ def j8_affected_versions_intended(spark: SparkSession, d: str) -> DataFrame:
       WHEN version_op = '>=' THEN version >= full_version WHEN version_op = '<=' THEN version <= full_version WHEN version_op = '>' THEN version > full_version WHEN version_op = '<' THEN version < full_version ELSE version = full_version END"""
 )
 def j9_version_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """VERSION_REUSE edges by version condition."""
+    """VERSION_REUSE edges by version condition."""
     r = table(spark, d, "reuses").select("reuse_id", "src_id", "dst_id", "version_op", F.col("version").alias("want"))
     v = table(spark, d, "lib_version").select(F.col("unique_id").alias("lib_unique_id"), F.concat("author", F.lit("%"), "repo_name").alias("lib_key"), "version").distinct()
     return knowledge.version_reuse(r, v)
@@ -540,7 +683,7 @@ def j9_version_reuse(spark: SparkSession, d: str) -> DataFrame:
     UNION SELECT 'FIXES_VERSION', commit_id, l.unique_id FROM p JOIN lib_version l ON l.repo_name = p.repo_name AND l.tag = p.commit_version"""
 )
 def j10_patch_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from patches to vulnerabilities, software and versions (J10, SC14, SC23, D16)."""
+    """Edges from patches to vulnerabilities, software and versions."""
     p = table(spark, d, "patch").where("commit_id is not null").select(F.lower("commit_id").alias("src"), F.upper(F.regexp_replace("cve_id", r"^\s+|\s+$", "")).alias("cve_id"), "repo_owner", "repo_name", "commit_version").distinct()
     cves = table(spark, d, "cve").select("cve_id").distinct()
     soft = table(spark, d, "software").select(F.col("name").alias("repo_name"), F.col("author").alias("repo_owner"), F.col("unique_id").alias("dst")).distinct()
@@ -582,15 +725,29 @@ def j11_reference_relations(spark: SparkSession, d: str) -> DataFrame:
 
 _BUGS = """bugs AS (SELECT raw_id, j ->> '$.cve.CVE_data_meta.ID' AS cve_id, j ->> '$.cve.description.description_data[0].value' AS description, j ->> '$.cve.problemtype.problemtype_data[0].description[0].value' AS problem_type,
   j ->> '$.impact.baseMetricV2.severity' AS severity, CAST(j ->> '$.impact.baseMetricV2.exploitabilityScore' AS DOUBLE) AS exploitability, CAST(j ->> '$.impact.baseMetricV2.impactScore' AS DOUBLE) AS impact,
-  CAST(j ->> '$.impact.baseMetricV2.cvssV2.baseScore' AS DOUBLE) AS base_score, j ->> '$.impact.baseMetricV2.cvssV2.vectorString' AS vector, left(j ->> '$.publishedDate', 10) AS published_day, left(j ->> '$.lastModifiedDate', 10) AS modified_day,
+  CAST(j ->> '$.impact.baseMetricV2.cvssV2.baseScore' AS DOUBLE) AS base_score, j ->> '$.impact.baseMetricV2.cvssV2.vectorString' AS vector, j ->> '$.configurations.nodes[0].operator' AS operator, left(j ->> '$.publishedDate', 10) AS published_day, left(j ->> '$.lastModifiedDate', 10) AS modified_day,
   CAST(date_diff('day', try_strptime(left(j ->> '$.publishedDate', 10), '%Y-%m-%d'), try_strptime(left(j ->> '$.lastModifiedDate', 10), '%Y-%m-%d')) AS INT) AS lasting
   FROM (SELECT raw_id, CASE WHEN json_valid(doc) THEN json(doc) END AS j FROM nvd_raw) WHERE j ->> '$.cve.CVE_data_meta.ID' IS NOT NULL)"""
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.vulnerabilities(table(spark, d, "nvd_raw"), "raw_id", "doc")
+
+
 @query(f"WITH {_BUGS} SELECT * FROM bugs")
 def f23_vulnerabilities(spark: SparkSession, d: str) -> DataFrame:
     """Vulnerability nodes (F22, F23, X27, query1, LASTING)."""
-    return knowledge.vulnerabilities(table(spark, d, "nvd_raw"), "raw_id", "doc")
+    return _records(spark, d)
+
+
+@query(_json_nodes() + "m AS (SELECT raw_id, node_path, match_pos, {'cpe23Uri': coalesce(m ->> '$.cpe23Uri', ''), 'versionStartIncluding': coalesce(m ->> '$.versionStartIncluding', ''), 'versionEndExcluding': coalesce(m ->> '$.versionEndExcluding', '')} AS p FROM hit WHERE m ->> '$.vulnerable' = 'true') SELECT raw_id, CAST(to_json(list(p ORDER BY node_path, match_pos)) AS VARCHAR) AS affected_cpes FROM m GROUP BY 1")
+def x29_affected_cpes(spark: SparkSession, d: str) -> DataFrame:
+    """The matches of a record that count, as one JSON text."""
+    m = nested.configuration_matches(table(spark, d, "nvd_raw"), "raw_id", "doc").where("vulnerable")
+    told = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
+    body = F.struct(told("cpe23uri", "cpe23Uri"), told("versionStartIncluding", "versionStartIncluding"), told("versionEndExcluding", "versionEndExcluding"))
+    listed = m.groupBy("raw_id").agg(F.sort_array(F.collect_list(F.struct("node_path", "match_pos", body.alias("b")))).alias("l"))
+    return listed.select("raw_id", F.to_json(F.transform("l", lambda x: x["b"])).alias("affected_cpes"))
 
 
 @query(f"WITH {_BUGS} SELECT DISTINCT cve_id, problem_type FROM bugs WHERE problem_type IS NOT NULL")
@@ -599,9 +756,16 @@ def j13_problem_types(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.vulnerabilities(table(spark, d, "nvd_raw"), "raw_id", "doc").where("problem_type is not null").select("cve_id", "problem_type").distinct()
 
 
+@query(_json_nodes().rstrip().rstrip(",") + f", {_REFS} " + "SELECT DISTINCT cve_id, p[5] || p[6] AS name FROM (SELECT raw_id, string_split(m ->> '$.cpe23Uri', ':') AS p FROM hit WHERE node_path = '0') JOIN refs USING (raw_id) WHERE cve_id IS NOT NULL AND p[6] IS NOT NULL")
+def j12_affected_libraries(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from vulnerabilities to the libraries of their first node (J12, query7)."""
+    m = nested.configuration_matches(table(spark, d, "nvd_raw"), "raw_id", "doc")
+    return knowledge.library_edges(m, _references(spark, d))
+
+
 @query(_json_nodes() + "lib AS (SELECT raw_id, string_split(m ->> '$.cpe23Uri', ':') AS p, coalesce(m ->> '$.vulnerable' = 'true', false) AS vulnerable FROM hit) SELECT p[5] || p[6] AS name, p[3] AS component_type, p[4] AS supplier, p[5] AS component, bool_or(vulnerable) AS vulnerable FROM lib WHERE p[6] IS NOT NULL GROUP BY ALL")
 def j12_libraries(spark: SparkSession, d: str) -> DataFrame:
-    """Library nodes named product and version (J12, query5, query7, X15)."""
+    """Library nodes named product and version (J12, query5, X15)."""
     m = nested.configuration_matches(table(spark, d, "nvd_raw"), "raw_id", "doc")
     p = lambda i: N.cpe_part(F.col("cpe23uri"), i)
     lib = m.where(p(5).isNotNull()).select(F.concat(p(4), p(5)).alias("name"), p(2).alias("component_type"), p(3).alias("supplier"), p(4).alias("component"), "vulnerable")
@@ -609,29 +773,47 @@ def j12_libraries(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT author, repo_name, tag, loaded_at, lv_id FROM lib_version WHERE author IS NOT NULL), c AS (SELECT commit_row, repo, commit_id, commit_ts FROM commit_log WHERE op = 'upsert' AND commit_ts IS NOT NULL)
-    SELECT commit_row, coalesce(arg_max(tag, (t.loaded_at, lv_id)), 'Unknown') AS tag FROM c LEFT JOIN t ON c.repo = t.author || '%' || t.repo_name AND t.loaded_at <= c.commit_ts GROUP BY 1"""
+    f"""WITH {_LIB_DATES}, t AS (SELECT author || '%' || repo_name AS repo, tag, readings[1] AS at, lv_id FROM lib_version JOIN inst ON row_id = lv_id WHERE author IS NOT NULL AND len(readings) > 0),
+    c AS (SELECT commit_row, repo, epoch_us(commit_ts) AS at FROM commit_log WHERE op = 'upsert' AND commit_ts IS NOT NULL)
+    SELECT commit_row, coalesce(arg_max(tag, (t.at, lv_id)) FILTER (WHERE t.at <= c.at), 'Unknown') AS tag, arg_min(tag, (t.at, lv_id)) FILTER (WHERE t.at >= c.at) AS first_containing, count(*) FILTER (WHERE t.at >= c.at) AS n_containing FROM c LEFT JOIN t USING (repo) GROUP BY 1"""
 )
 def sc21_nearest_tag(spark: SparkSession, d: str) -> DataFrame:
-    """The last tag before each commit of its repository, an as-of join (SC21).
+    """The last tag before each commit of its repository, the first that contains it and how many do (SC21, SC22)."""
+    tags = _dated(spark, d).where("author is not null").select(F.concat("author", F.lit("%"), "repo_name").alias("repo"), "at", "tag", "lv_id")
+    commits = table(spark, d, "commit_log").where("op = 'upsert' and commit_ts is not null").select("commit_row", "repo", F.unix_micros("commit_ts").alias("at"))
+    return knowledge.nearest_tag(commits, tags)
 
-    Tags and commits are merged into one stream a repository and the last tag is carried forward, so
-    no pair of a tag and a commit is formed.
-    """
-    from pyspark.sql import Window
 
-    tags = table(spark, d, "lib_version").where("author is not null").select(F.concat("author", F.lit("%"), "repo_name").alias("repo"), F.col("loaded_at").alias("at"), F.lit(0).alias("k"), F.col("lv_id").alias("o"), F.col("tag").alias("t"))
-    commits = table(spark, d, "commit_log").where("op = 'upsert' and commit_ts is not null").select("repo", F.col("commit_ts").alias("at"), F.lit(1).alias("k"), F.col("commit_row").alias("o"), F.lit(None).cast("string").alias("t"))
-    w = Window.partitionBy("repo").orderBy("at", "k", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return tags.unionByName(commits).withColumn("tag", F.last("t", ignorenulls=True).over(w)).where("k = 1").select(F.col("o").alias("commit_row"), F.coalesce("tag", F.lit("Unknown")).alias("tag"))
+@query(
+    """WITH c AS (SELECT lower(trim(commit_id)) AS id, arg_max(commit_ts, (loaded_at, commit_row)) AS ts FROM commit_log WHERE op = 'upsert' AND commit_id IS NOT NULL AND commit_ts IS NOT NULL GROUP BY 1)
+    SELECT patch_id, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Unknown') AS commit_time FROM patch p LEFT JOIN c ON c.id = lower(trim(p.commit_id))"""
+)
+def sc23_commit_times(spark: SparkSession, d: str) -> DataFrame:
+    """When the commit of each patch was made, or Unknown (SC23)."""
+    key = F.lower(F.trim("commit_id"))
+    log = table(spark, d, "commit_log").where("op = 'upsert' and commit_id is not null and commit_ts is not null")
+    made = log.groupBy(key.alias("id")).agg(F.max_by("commit_ts", F.struct("loaded_at", "commit_row")).alias("ts"))
+    p = table(spark, d, "patch").select("patch_id", key.alias("id"))
+    return p.join(made, "id", "left").select("patch_id", F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Unknown")).alias("commit_time"))
 
 
 # ---- preparation and set operations -------------------------------------------------------------------
-@query("SELECT full_name, arg_max(stars, pos) AS stars FROM (SELECT coalesce(author, 'None') || '/' || name AS full_name, software_row AS pos, length(unique_id) AS stars FROM software) GROUP BY 1")
+@query("SELECT full_name, stars, row_number() OVER (ORDER BY stars DESC, pos, full_name) AS place FROM (SELECT full_name, arg_max(stars, pos) AS stars, max(pos) AS pos FROM (SELECT coalesce(author, 'None') || '/' || name AS full_name, software_row AS pos, length(unique_id) AS stars FROM software) GROUP BY 1)")
 def a18_last_by_name(spark: SparkSession, d: str) -> DataFrame:
-    """One row a full name, the last wins."""
+    """One row a full name, the last wins, and its place by stars (A18, T6, S4); lengths stand for stars."""
     s = table(spark, d, "software").select(F.concat(F.coalesce("author", F.lit("None")), F.lit("/"), "name").alias("full_name"), F.col("software_row").alias("pos"), F.length("unique_id").cast("bigint").alias("stars"))
-    return s.groupBy("full_name").agg(F.max_by("stars", "pos").alias("stars"))
+    last = s.groupBy("full_name").agg(F.max_by("stars", "pos").alias("stars"), F.max("pos").alias("pos")).withColumn("less", -F.col("stars"))
+    return along(last, [], ["less", "pos", "full_name"], ordinal="place").select("full_name", "stars", "place")
+
+
+@query(
+    """SELECT sbom_id, o.unique_id AS src_id, coalesce(f.unique_id, 'None%' || trim(depname)) AS dst_id, f.unique_id IS NOT NULL AS known, version, version_op FROM sbom_component
+    JOIN (SELECT author || '@@' || name AS project, min(unique_id) AS unique_id FROM software WHERE author IS NOT NULL GROUP BY 1) o USING (project)
+    LEFT JOIN (SELECT name, min(unique_id) AS unique_id FROM software WHERE name IS NOT NULL GROUP BY 1) f ON f.name = trim(depname) WHERE trim(depname) <> ''"""
+)
+def j19_component_edges(spark: SparkSession, d: str) -> DataFrame:
+    """REUSES edges from projects to the components of their SBOM."""
+    return knowledge.component_edges(table(spark, d, "sbom_component"), table(spark, d, "software"))
 
 
 @query(r"SELECT author, repo_name, n_files, ratio, ratio >= 0.4 AS is_cpp FROM (SELECT author, repo_name, count(*) AS n_files, round(count(*) FILTER (WHERE regexp_matches(file_path, '\.(c|cpp|cc|cxx|h|hpp)$')) / count(*), 9) AS ratio FROM (SELECT DISTINCT author, repo_name, file_path FROM function_signature) GROUP BY 1, 2)")
@@ -664,3 +846,66 @@ def f18_first_patches(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "patch").where("commit_id is not null")
     first = p.groupBy("repo_owner", "repo_name", F.lower("commit_id").alias("key")).agg(F.min(F.struct("patch_id", "commit_id")).alias("f"))
     return first.select("f.patch_id", "f.commit_id")
+
+
+# ---- files written and read again ----------------------------------------------------------------------
+@query("SELECT unique_id AS tpl, lower(arg_max(name, software_row)) AS tpl_name FROM software WHERE unique_id IS NOT NULL GROUP BY 1")
+def sc6_library_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of libraries from a CSV file, the last one wins (SC5, SC6)."""
+    path = scratch_path(spark, "names")
+    table(spark, d, "software").where("unique_id is not null").orderBy("software_row").select("unique_id", "name").write.csv(path, header=True)
+    return files.library_names(spark, path)
+
+
+@query("SELECT DISTINCT author || '/' || repo_name AS name FROM lib_version WHERE author IS NOT NULL")
+def sc15_line_set(spark: SparkSession, d: str) -> DataFrame:
+    """A list written line by line and read as a set (SC15, SK8)."""
+    path = scratch_path(spark, "list")
+    sinks.write_list(table(spark, d, "lib_version").where("author is not null").select(F.concat("author", F.lit("%"), "repo_name").alias("k")), "k", path)
+    return files.line_set(spark, path)
+
+
+@query("SELECT lv_id, coalesce(CASE WHEN lv_id % 3 > 0 THEN commit_date END, strftime(loaded_at, '%Y-%m-%d')) AS commit_date FROM lib_version")
+def sc18_tag_dates(spark: SparkSession, d: str) -> DataFrame:
+    """The date of a tag, else of its last commit (SC18)."""
+    t = table(spark, d, "lib_version").select("lv_id", F.when(F.col("lv_id") % 3 > 0, F.col("commit_date")).alias("creator_date"), F.date_format("loaded_at", "yyyy-MM-dd").alias("last_commit_date"))
+    return files.tag_dates(t).select("lv_id", "commit_date")
+
+
+@query("SELECT tag, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS tag_time FROM lib_version WHERE tag <> '' AND NOT contains(tag, ',') AND NOT contains(tag, ')')")
+def sc20_tag_times(spark: SparkSession, d: str) -> DataFrame:
+    """Tags and times of decorated log lines (SC20, X31)."""
+    line = F.concat(F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" +0000  (HEAD -> main, tag: "), "tag", F.lit(", origin/main)"))
+    return files.tag_log(table(spark, d, "lib_version").where("tag <> '' and not contains(tag, ',') and not contains(tag, ')')").select(line.alias("value"))).select("tag", "tag_time")
+
+
+@query("SELECT patch_id, cve_id, repo_name FROM patch")
+def sk1_json_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results written as JSON and read again (SK1)."""
+    path = scratch_path(spark, "json")
+    sinks.write_json(table(spark, d, "patch").select("patch_id", "cve_id", "repo_name"), path)
+    return spark.read.schema("patch_id bigint, cve_id string, repo_name string").json(path)
+
+
+@query(f"WITH {_EDGES} SELECT s AS origin_tpl_uuid, x AS reuse_tpl_uuid FROM kept")
+def sk6_edge_file(spark: SparkSession, d: str) -> DataFrame:
+    """Dependencies written as an edge list and read again (SK6, SC5)."""
+    path = scratch_path(spark, "edges")
+    sinks.write_edges(_dependencies(spark, d), path)
+    return files.csv_table(spark, path, "origin_tpl_uuid string, reuse_tpl_uuid string")
+
+
+@query("SELECT collector, patch_id FROM patch WHERE collector IS NOT NULL")
+def sk7_tables_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """A table in a folder a key (SK5, SK7, SC25)."""
+    path = scratch_path(spark, "keyed")
+    sinks.write_by_key(table(spark, d, "patch").where("collector is not null").select("collector", "patch_id"), "collector", path)
+    return spark.read.schema("patch_id bigint, collector string").parquet(path).select("collector", "patch_id")
+
+
+@query("SELECT unique_id FROM software SEMI JOIN reuses ON unique_id = src_id WHERE unique_id NOT IN (SELECT dst_id FROM reuses WHERE dst_id IS NOT NULL)")
+def sk9_not_done(spark: SparkSession, d: str) -> DataFrame:
+    """Work that isn't in the table of finished work (SK9)."""
+    r = table(spark, d, "reuses")
+    work = table(spark, d, "software").select("unique_id").join(r.select(F.col("src_id").alias("unique_id")), "unique_id", "left_semi")
+    return sinks.not_done(work, r.select(F.col("dst_id").alias("unique_id")).where("unique_id is not null"), "unique_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -41,12 +43,39 @@ def checkpoint_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "cascadelens-checkpoints"))
     return context.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
+def clear_scratch() -> None:
+    """Remove the tables that this process wrote with `via_table`; DataFrames read from them end with it."""
+    from pyspark import SparkContext
+
+    gateway = SparkContext._gateway
+    while _scratch and gateway is not None:
+        path = gateway.jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        with contextlib.suppress(Exception):
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+atexit.register(clear_scratch)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, in at least as many partitions as there are cores.
+
+    A scan of a few row groups has as few tasks; where costly work follows, its rows are dealt out first.
+    A table of many row groups has enough partitions, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder (survives the loss of any executor)."""
     checkpoint_folder(df.sparkSession)
@@ -65,5 +94,6 @@ def via_table(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    _scratch.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,9 +42,11 @@ def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def library_names(spark: SparkSession, path: str) -> DataFrame:
-    """tpl, tpl_name in lower case; of several names of a library the greatest is kept."""
+    """tpl, tpl_name in lower case; of several names of a library the last one is kept."""
     rows = csv_table(spark, path, "tpl string, tpl_name string")
-    return rows.groupBy("tpl").agg(F.max(F.lower("tpl_name")).alias("tpl_name"))
+    # row numbers rise within a split of a file, and splits are told by where they begin
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.select("tpl", F.lower("tpl_name").alias("tpl_name"), place.alias("place")).groupBy("tpl").agg(F.max_by("tpl_name", "place").alias("tpl_name"))
 
 
 def signatures(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,8 +104,19 @@ def line_set(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tag_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """tag, of decorated log lines `... tag: NAME)` or `tag: NAME, ...`; the last tag of a line."""
-    return lines.select(F.split_part(F.regexp_extract(column, r".*tag: (.*)[),]", 1), F.lit(","), F.lit(1)).alias("tag"), column).where("tag <> ''")
+    """tag, tag_time, of decorated log lines `DATE TIME ... tag: NAME)` or `tag: NAME, ...`; the last tag of a line.
+
+    The time is the line's first two words, as they are; the zone behind them is left out.
+    """
+    tag = F.split_part(F.regexp_extract(column, r".*tag: (.*)[),]", 1), F.lit(","), F.lit(1))
+    return lines.select(tag.alias("tag"), F.regexp_extract(column, r"^\s*(\S+\s+\S+)", 1).alias("tag_time"), column).where("tag <> ''")
+
+
+def search_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """full_name, stargazers_count, page, pos of the repositories in landed pages {"items": [...]} of a search, page by page."""
+    pages = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
+    items = F.from_json("value", "items array<struct<full_name:string,stargazers_count:bigint>>")["items"]
+    return pages.select(F.col("_metadata.file_name").alias("page"), F.posexplode(items).alias("pos", "r")).select("r.full_name", "r.stargazers_count", "page", "pos")
 
 
 def tag_dates(tags: DataFrame) -> DataFrame:

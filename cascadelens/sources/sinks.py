@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cascadelens.operators.knowledge import last_per_key
+
 
 def write_json(df: DataFrame, path: str) -> None:
     """Rows as JSON lines."""
@@ -26,9 +28,12 @@ def write_by_key(df: DataFrame, key: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(key).parquet(path)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows of `old` with those of `new` in their place; of repeated new keys one row is kept."""
-    fresh = new.dropDuplicates([key])
+def upsert(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
+    """The rows of `old` with those of `new` in their place; of repeated new keys the last in `order` is kept.
+
+    Without `order` it's the one with the greatest values, column by column.
+    """
+    fresh = last_per_key(new, key, *(order or new.columns))
     return old.join(fresh.select(key), key, "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 
 

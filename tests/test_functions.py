@@ -26,6 +26,8 @@ def test_extract_version(spark, tag, want):
 
 
 def test_versions(spark):
+    assert tuple(one(spark, V.dependency, "^1.2.3-rc")) == (None, "^1.2.3-rc", "^1.2.3-rc")
+    assert sorted(["v1.10", "v1.9", "v1.009a", "v2"], key=lambda t: one(spark, V.sort_key, t)) == ["v1.9", "v1.009a", "v1.10", "v2"]
     assert [one(spark, V.is_valid, v) for v in ("1.0.2", "1.0.2k", "-", "*", "1.2.3.4")] == [True, False, False, False, False]
     assert [one(spark, V.major_minor, v) for v in ("2.6.12", "7")] == ["2.6", ""]
     assert [tuple(one(spark, V.dependency, v)) for v in ("^4.2.1", "~4.2", "1.0")] == [("^", "4", "4.2.1"), ("~", "4.2", "4.2"), (None, "1.0", "1.0")]
@@ -89,7 +91,7 @@ def test_version_ranges(spark):
         ((None, None, "3", None), "123", "123"), ((None, None, None, "3"), "12", "12"), (("2", None, "3", None), "23", "23"), (("2", None, None, "3"), "23", "2"), ((None, "2", None, "4"), "34", "3"),
         (("2", None, "2", None), "2", "2"), (("2", None, None, "2"), "", ""), (("2", None, None, None), "234", "234"), (("3", None, "1", None), "34", ""), ((None,) * 4, "", ""),
     ]
-    chain = knowledge.version_chain(spark.createDataFrame([(i, "a", "r", f"v{i}", str(i), f"2020-01-0{i}") for i in range(1, 5)] + [(9, "a", "r", "v2-again", "2", "2021")], "lv_id bigint, author string, repo_name string, tag string, version string, commit_date string"))
+    chain = knowledge.version_chain(spark.createDataFrame([(i, "a", "r", f"v{i}", str(i), f"2020-01-0{i}", i) for i in range(1, 5)] + [(9, "a", "r", "v2-again", "2", "2021", 9), (10, "a", "r", "draft", "0", "?", None)], "lv_id bigint, author string, repo_name string, tag string, version string, commit_date string, at bigint")).where("tag <> 'draft'")
     ranges = spark.createDataFrame([(str(i), "a", "r", *c) for i, (c, _, _) in enumerate(cases)], "range_id string, author string, repo_name string, si string, se string, ei string, ee string")
     for mode, at in (("literal", 1), ("intended", 2)):
         got = {}
@@ -98,6 +100,118 @@ def test_version_ranges(spark):
         assert [got.get(i, set()) for i in range(len(cases))] == [{f"v{k}" for k in c[at]} for c in cases]
 
 
+def test_version_ranges_by_a_map(spark):
+    """A mapped tag without a version is missing: as a start, or as a lone end, it gives nothing; as an end it ends nothing."""
+    chain = knowledge.version_chain(spark.createDataFrame([(i, "a", "r", f"v{i}", str(i), i) for i in range(1, 5)], "lv_id bigint, author string, repo_name string, tag string, version string, at bigint").withColumn("commit_date", F.lit("")))
+    entries = [("a", "r", "1.0", "v1", 0), ("a", "r", "3.0", "v3", 1), ("a", "r", "3.0", "v4", 2), ("a", "r", "9", "gone", 3), ("a", "r", "2", "release-2", 4)]
+    vmap = spark.createDataFrame(entries, "author string, repo_name string, cpe_version string, git_tag string, pos int")
+    cases = [(("9", None, "3.0", None), ""), ((None, None, "9", None), ""), (("1.0", None, "9", None), "1234"), (("none", None, "3.0", None), "123"), ((None, None, "3.0.7", None), "123"), (("2", None, "3.0", None), "23"), (("none", "1.0", "3.0", None), "123")]
+    ranges = spark.createDataFrame([(str(i), "a", "r", *c) for i, (c, _) in enumerate(cases)], "range_id string, author string, repo_name string, si string, se string, ei string, ee string")
+    for mode in ("literal", "intended"):
+        got = {}
+        for r in knowledge.affected_by_range(ranges, chain, mode, vmap).collect():
+            got.setdefault(int(r["range_id"]), set()).add(r["tag"])
+        assert [got.get(i, set()) for i in range(len(cases))] == [{f"v{k}" for k in w} for _, w in cases]
+    named = spark.createDataFrame([(1, "a", "r", "3.0", None), (2, "a", "r", "4", ""), (3, "a", "r", "4", "1")], "raw_id bigint, author string, repo_name string, version string, si string").selectExpr("*", "si as se", "si as ei", "si as ee")
+    tags = spark.createDataFrame([(i, "b", "r", f"v{i}") for i in range(1, 5)], "lv_id bigint, author string, repo_name string, tag string")
+    assert {tuple(r) for r in knowledge.affected_exactly(named, tags, vmap).collect()} == {(1, "b", "r", "v3", "map"), (1, "b", "r", "v4", "map"), (2, "b", "r", "v4", "extracted")}
+
+
+def test_chain_by_instants_of_mixed_texts(spark):
+    texts = ["2024/01/11", "25/10/2015 10:00:00", "20201014T064101Z", "2020-10-14 08:00:00 +0200", "TBD", None]
+    rows = [(i, "a", "r", f"v{i}", str(i), t, "be", dt.datetime(2024, 6, 1), "clash") for i, t in enumerate(texts)]
+    tags = spark.createDataFrame(rows, "lv_id bigint, author string, repo_name string, tag string, version string, commit_date string, collector string, loaded_at timestamp, undated string")
+    zones = spark.createDataFrame([("be", "Europe/Berlin", "dmy")], "collector string, tz_name string, date_order string")
+    chain = knowledge.version_chain(knowledge.dated_tags(tags, zones))
+    assert [r["tag"] for r in chain.orderBy("ord").collect()] == ["v1", "v3", "v2", "v0", "v4", "v5"]
+    assert knowledge.version_chain(knowledge.dated_tags(tags.limit(0), zones)).count() == 0
+
+
+def test_along_like_a_window(spark):
+    from pyspark.sql import Window
+
+    from cascadelens.operators.ordered import along
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot"] * 8 + ["b", None]), i, rng.choice([None, i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("n"), F.lead("v").over(w).alias("after"), F.lag("v").over(w).alias("before"), F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("held"))
+    got = along(df, ["k"], ["o"], ordinal="n", lead={"after": "v"}, lag={"before": "v"}, carried={"held": "v"})
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(got.columns).collect()), key=str)
+    assert [r["n"] for r in along(df, [], ["o"], ordinal="n").orderBy("o").collect()] == list(range(1, 501))
+
+
+def test_propagation_with_loops(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), ("d", "a"), ("d", "a"), (None, "a"), ("a", "a")], "s string, x string")
+    affected = spark.createDataFrame([("V1", "a"), ("V1", "a"), ("V2", "z"), ("V3", "b"), ("V3", "c"), (None, "a"), ("V4", None)], "cve_id string, id string")
+    got = {(r["cve_id"], r["id"]): (r["depth"], r["path"]) for r in graph.propagate(affected, edges, "s", "x").collect()}
+    assert got == {
+        ("V1", "a"): (0, ["a"]), ("V1", "b"): (1, ["a", "b"]), ("V1", "c"): (2, ["a", "b", "c"]), ("V1", "d"): (1, ["a", "d"]), ("V2", "z"): (0, ["z"]),
+        ("V3", "b"): (0, ["b"]), ("V3", "c"): (0, ["c"]), ("V3", "a"): (1, ["c", "a"]), ("V3", "d"): (1, ["c", "d"]),
+    }
+    line = spark.createDataFrame([(f"n{i + 1:02}", f"n{i:02}") for i in range(14)], "s string, x string")
+    reached = graph.reach(line, "s", "x", spark.createDataFrame([("n00",)], "id string"))
+    assert {r["id"]: r["depth"] for r in reached.collect()} == {f"n{i:02}": i for i in range(15)}
+
+
+def test_greedy_cut_leaves_no_cycle(spark):
+    rng = random.Random(6)
+    edges = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(22)})
+    rows = graph.without_cycles(spark.createDataFrame(edges, "s string, x string"), "s", "x").collect()
+    assert sorted((r["s"], r["x"]) for r in rows) == edges and any(r["removed"] for r in rows)
+    assert not graph.count_cycles([(r["s"], r["x"]) for r in rows if not r["removed"]])
+    assert graph.greedy_cut([("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")]) == [("a", "b")]
+
+
+def test_parsed_functions():
+    from cascadelens.sources import parser as P
+
+    text = """#include <x.h>
+namespace n {
+struct S { int f() const { return "}"[0]; } };
+}
+static int *pick(int a, /* { */ int b)
+{
+    if (a) { return 0; }
+    return &b;
+}
+int table[] = {1, 2};
+extern "C" { void e(void) {} }
+A::A(int x) : y{x} { go(); }
+int open(int a) { if (a) {"""
+    assert [(n, line) for n, line, _ in P.parsed_functions(text)] == [("f", 3), ("pick", 5), ("e", 11), ("A", 12)]
+    assert P.parsed_functions(text)[1][2].endswith("return &b;\n}")
+    code = '#define NAME "zed" // c\n#define STR(a, b) foo(#b)\n#define CAT(a) x##a\n#ifdef NAME\nputs( NAME ); NAMES; "NAME"; f(NAME)'
+    known = P.macros(code)
+    assert known == {"NAME": '"zed"', "STR": "1"}
+    assert P.with_macros(code, known) == (code.replace("puts( NAME )", 'puts( "zed" )').replace("f(NAME)", 'f("zed")'), ['"zed"'])
+
+
+def test_digests(spark):
+    from cascadelens.functions import digest as D
+
+    rng = random.Random(1)
+    base = "".join(rng.choice("abcdefgh (){};\n") for _ in range(600))
+    near, other = base[:300] + "XY" + base[302:], "".join(rng.choice("zyxwvuts,.=<>") for _ in range(600))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([base, base, near, other, "short", None])], "i int, content string")
+    made = {r["i"]: r["digest"] for r in D.digests(df).collect()}
+    assert made[0] == made[1] and made[4] is None and made[5] is None and len(made[0]) == 7
+
+    def plain(a, b):
+        code = lambda d, k: ((d[k // 64] >> (63 - k % 64)) & 1) * 2 + ((d[2 + k // 64] >> (63 - k % 64)) & 1)
+        apart = [abs(code(a, k) - code(b, k)) for k in range(128)]
+        far = sum(6 if x == 3 else x for x in apart)
+        for i in (4, 5):
+            x = min(abs(a[i] - b[i]), 16 - abs(a[i] - b[i]))
+            far += x if x <= 1 else (x - 1) * 12
+        return far + (a[6] != b[6])
+
+    pairs = spark.createDataFrame([(made[0], made[k]) for k in (1, 2, 3)], "a array<bigint>, b array<bigint>")
+    got = [r["d"] for r in pairs.select(D.distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [plain(made[0], made[k]) for k in (1, 2, 3)] and got[0] == 0 and got[1] < got[2]
+
+
 def test_one_direction_and_score(spark):
     e = spark.createDataFrame([("s", "x", 3), ("x", "s", 5), ("a", "b", 2), ("b", "a", 2), ("c", "d", 1)], "s string, x string, n int")
     kept = tpl.one_direction(e)

@@ -35,8 +35,8 @@ def test_mapping_files(spark, tmp_path):
     put(tmp_path, "p/one_patch_info.txt", "CVE-1 o%r abc\nCVE-2 o%r abc\nCVE-3 o%r def\n")
     put(tmp_path, "p/one_changed_patch_info.txt", "CVE-9 o%r abc\n")
     assert sorted((r["cve_id"], r["commit_id"]) for r in S.patch_info(spark, str(tmp_path / "p")).collect()) == [("CVE-1", "abc"), ("CVE-3", "def")]
-    put(tmp_path, "n.csv", "tpl_uuid,tpl_name\n1,ZLib\n1,Zlib\n2,Curl\n")
-    assert {r["tpl"]: r["tpl_name"] for r in S.library_names(spark, str(tmp_path / "n.csv")).collect()} == {"1": "zlib", "2": "curl"}
+    put(tmp_path, "n.csv", "tpl_uuid,tpl_name\n1,ZLib\n1,Alib\n2,Curl\n")
+    assert {r["tpl"]: r["tpl_name"] for r in S.library_names(spark, str(tmp_path / "n.csv")).collect()} == {"1": "alib", "2": "curl"}
 
 
 def test_json_sources(spark, tmp_path):
@@ -53,8 +53,8 @@ def test_json_sources(spark, tmp_path):
 def test_logs_and_lists(spark, tmp_path):
     put(tmp_path, "l.txt", "a%b\na%b\nc%d\n")
     assert {r["name"] for r in S.line_set(spark, str(tmp_path / "l.txt")).collect()} == {"a/b", "c/d"}
-    log = spark.createDataFrame([("x (tag: v1, origin)",), ("y (HEAD, tag: v2)",), ("none",)], "value string")
-    assert [r["tag"] for r in S.tag_log(log).collect()] == ["v1", "v2"]
+    log = spark.createDataFrame([("2020-01-01 01:02:03 +0000 (tag: v1, origin)",), ("y (HEAD, tag: v2)",), ("none",)], "value string")
+    assert [(r["tag"], r["tag_time"]) for r in S.tag_log(log).collect()] == [("v1", "2020-01-01 01:02:03"), ("v2", "y (HEAD,")]
     t = spark.createDataFrame([("a", "b"), (None, "c")], "creator_date string, last_commit_date string")
     assert [r["commit_date"] for r in S.tag_dates(t).collect()] == ["a", "c"]
 

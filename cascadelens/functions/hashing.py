@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cascadelens.functions import text as T
+from cascadelens.session import spread
 
 
 def md5_low64(value: Column) -> Column:
@@ -21,7 +22,9 @@ def hamming(a: Column, b: Column) -> Column:
 def _token_features(df: DataFrame, row_id: str, content: str) -> DataFrame:
     """row_id, single, bigram of every token; one row a token keeps all of it in generated code."""
     toks = df.select(row_id, T.tokens(T.preprocess(F.col(content))).alias("t"))
-    each = toks.select(row_id, "t", F.posexplode("t").alias("i", "x")).select(row_id, "x", F.get("t", F.col("i") + 1).alias("next"))
+    # every token with the next one, so that no row carries the whole array
+    pairs = F.arrays_zip(F.col("t").alias("x"), F.slice("t", F.lit(2), F.size("t")).alias("next"))
+    each = toks.where(F.size("t") > 0).select(row_id, F.inline(pairs).alias("x", "next"))
     kind = T.feature_class(F.col("x"))
     word = F.when(kind == "keyword", F.lower("x")).otherwise(F.col("x"))
     return each.select(row_id, F.concat(kind, F.lit("_"), word).alias("single"), F.concat(F.lit("bigram_"), "x", F.lit("_"), "next").alias("bigram"))
@@ -40,7 +43,7 @@ def simhash(df: DataFrame, row_id: str, content: str) -> DataFrame:
     give 0. Two bit counters share one long (32 bits each), so 64 bits take 32 sums and not 64. All
     features of a row come from one row, so they are added up before the shuffle.
     """
-    hashed = _token_features(df, row_id, content).select(row_id, md5_low64(F.col("single")).alias("h"), md5_low64(F.col("bigram")).alias("g"))
+    hashed = _token_features(spread(df.select(row_id, content)), row_id, content).select(row_id, md5_low64(F.col("single")).alias("h"), md5_low64(F.col("bigram")).alias("g"))
     bits = hashed.select(row_id, F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("g", F.lit(0)).alias("g"), (F.col("h").isNotNull().cast("int") + F.col("g").isNotNull().cast("int")).alias("k"))
     one = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))
     both = lambda i: one("h", i) + one("g", i)

@@ -2,37 +2,83 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cascadelens.functions.hashing import hamming
+from cascadelens.session import via_table
 
 #: Bits of 64 in which two fingerprints may differ; least share of reused functions.
 HAMMING, BASE_THRESHOLD = 8, 0.1
+#: So many fingerprints of a key meet in one task; a key with more is cut.
+CELL = 20_000
+
+
+def bands_together(n: int, distance: int = HAMMING) -> int:
+    """How many bands make a key, so that n fingerprints share a key about as often as chance has it: at least log2(n) bits."""
+    together = 1
+    while together * 64 / (distance + together) < math.log2(max(n, 2)):
+        together += 1
+    return together
 
 
 def band_keys(fingerprint: Column, distance: int, together: int = 2) -> Column:
-    """array<bigint>: the 64 bits cut into distance + together bands, every `together` of them a key.
+    """array<struct<key, mask>>: the 64 bits cut into distance + together bands, every `together` of them a key.
 
     Two fingerprints within the distance differ in at most `distance` bands and so agree on one key in
     full. More bands together make more keys of more bits each, which unlike fingerprints share less.
+    `key` is the fingerprint in these bands, `mask` tells the bands, a bit each.
+    """
+    bands = _bands(distance + together)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    bits = lambda chosen: signed(sum(((1 << bands[i][1]) - 1) << bands[i][0] for i in chosen))
+    masks = [F.struct(F.lit(bits(c)).cast("bigint").alias("bits"), F.lit(sum(1 << i for i in c)).alias("mask")) for c in combinations(range(len(bands)), together)]
+    return F.transform(F.array(*masks), lambda m: F.struct(fingerprint.bitwiseAND(m["bits"]).alias("key"), m["mask"].alias("mask")))
+
+
+def _bands(count: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each of so many bands."""
+    width, more = divmod(64, count)
+    sizes = [width + (i < more) for i in range(count)]
+    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+
+def _first_key(a: Column, b: Column, mask: Column, bands: list[tuple[int, int]]) -> Column:
+    """Whether `mask` has the first bands in which a and b agree: one key stands for a pair."""
+    apart = a.bitwiseXOR(b)
+    agree = F.lit(0)
+    for i, (at, size) in enumerate(bands):
+        agree = agree.bitwiseOR(F.when(apart.bitwiseAND(F.shiftleft(F.lit((1 << size) - 1).cast("bigint"), at)) == 0, 1 << i).otherwise(0))
+    # the bands up to the last one of the mask
+    last = F.floor(F.log2(mask.cast("double"))).cast("int")
+    return agree.bitwiseAND(F.call_function("shiftleft", F.lit(2), last) - 1) == mask
+
+
+def near_fingerprints(left: DataFrame, right: DataFrame, distance: int = HAMMING) -> DataFrame:
+    """fa, fb within the distance, each pair once; left(fa), right(fb) are distinct and not null.
+
+    Keys get wider with the number of fingerprints, so what meets in one grows with that number and not
+    with its square. A pair that shares several keys counts in the first, so no pair is shuffled again.
+    A key with very many fingerprints is cut into cells, and every two cells meet in a task.
     """
-    bands = distance + together
-    width, more = divmod(64, bands)
-    at, parts = 0, []
-    for i in range(bands):
-        size = width + (i < more)
-        parts.append((F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << size) - 1)), size))
-        at += size
-    keys = []
-    for k, chosen in enumerate(combinations(parts, together)):
-        value = F.lit(k).cast("bigint")
-        for bits, size in chosen:
-            value = F.shiftleft(value, size).bitwiseOR(bits)
-        keys.append(value)
-    return F.array(*keys)
+    count = max(left.count(), right.count())
+    together = bands_together(count, distance)
+    bands = _bands(distance + together)
+    keyed = lambda d, f: d.select(f, F.inline(band_keys(F.col(f), distance, together)))
+    a, b = keyed(left, "fa"), keyed(right, "fb")
+    size = lambda d, n: d.groupBy("key", "mask").agg(F.count(F.lit(1)).alias(n))
+    # a cell holds at most about CELL fingerprints
+    hot = size(a, "na").join(size(b, "nb"), ["key", "mask"]).where(F.greatest("na", "nb") > CELL).select("key", "mask", F.ceil(F.col("na") / CELL).cast("int").alias("ca"), F.ceil(F.col("nb") / CELL).cast("int").alias("cb"))
+    hot = via_table(hot, "hot")
+    own = lambda f, n: F.pmod(F.xxhash64(f), F.coalesce(n, F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    x = a.join(hot, ["key", "mask"], "left").select("fa", "key", "mask", own("fa", F.col("ca")).alias("i"), each(F.col("cb")).alias("j"))
+    y = b.join(hot, ["key", "mask"], "left").select("fb", "key", "mask", own("fb", F.col("cb")).alias("j"), each(F.col("ca")).alias("i"))
+    met = x.join(y, ["key", "mask", "i", "j"]).where(hamming(F.col("fa"), F.col("fb")) <= distance)
+    return met.where(_first_key(F.col("fa"), F.col("fb"), F.col("mask"), bands)).select("fa", "fb")
 
 
 def similar_functions(projects: DataFrame, library: DataFrame, distance: int = HAMMING) -> DataFrame:
@@ -41,9 +87,8 @@ def similar_functions(projects: DataFrame, library: DataFrame, distance: int = H
     Both have id, repo, fingerprint, birth. Fingerprints that agree in full are folded first, so copies
     cost one row.
     """
-    fold = lambda d: d.where("fingerprint is not null").select("fingerprint").distinct()
-    keyed = lambda d, name: fold(d).select(F.col("fingerprint").alias(name), F.explode(band_keys(F.col("fingerprint"), distance)).alias("key"))
-    near = keyed(projects, "fa").join(keyed(library, "fb"), "key").where(hamming(F.col("fa"), F.col("fb")) <= distance).select("fa", "fb").distinct()
+    fold = lambda d, f: via_table(d.where("fingerprint is not null").select(F.col("fingerprint").alias(f)).distinct(), "fingerprints")
+    near = near_fingerprints(fold(projects, "fa"), fold(library, "fb"), distance)
     a = projects.select(F.col("id"), F.col("repo").alias("repo_a"), F.col("fingerprint").alias("fa"), F.col("birth").alias("birth_a"))
     # of equal fingerprints of a repository only the oldest and an undated one can matter
     b = library.where("fingerprint is not null").groupBy(F.col("repo").alias("repo_b"), F.col("fingerprint").alias("fb")).agg(F.min("birth").alias("birth_b"), F.max(F.col("birth").isNull()).alias("undated"))

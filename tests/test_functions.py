@@ -62,7 +62,7 @@ def test_names_and_paths(spark):
     assert [tuple(one(spark, N.split_repo_key, k)) for k in ("a%b", "ab", "a%b%c")] == [("a", "b"), (None, None), (None, None)]
 
 
-def test_similar_functions_like_the_nested_loop(spark):
+def test_similar_functions_like_the_nested_loop(spark, monkeypatch):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(20)] + [0]
     rows = []
@@ -78,6 +78,8 @@ def test_similar_functions_like_the_nested_loop(spark):
     old = lambda a, b: a is None or b is None or b < a
     want = {(i, rb) for i, ra, f, x in rows for _, rb, g, y in rows if f is not None and g is not None and ra != rb and bin((f ^ g) & ((1 << 64) - 1)).count("1") <= 8 and old(x, y)}
     assert got == want
+    monkeypatch.setattr(clones, "CELL", 3)
+    assert {(r["id"], r["repo_b"]) for r in clones.similar_functions(df, df).collect()} == want
 
 
 @pytest.mark.parametrize("reused, total, want", [(0, 10, 0.1), (5, 10, 1.0), (20, 10, 0.5), (5000, 10, 0.01), (0, 0, 0.1)])

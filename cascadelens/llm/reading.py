@@ -2,12 +2,16 @@
 
 Code, links, quotations and headings are taken out first; what is left gives features of sentence
 length, word length, word rarity in the corpus, connectives, clause depth and lexical diversity. A
-regularised ordinal regression, fitted to the raters' bands, turns them into an estimate.
+regularised ordinal regression, fitted to the raters' bands, turns them into an estimate. Every text is
+read once: the buckets of its words are kept, and their rarity is looked up when all are counted.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cascadelens.session import via_table
+from cascadelens.session import spread, via_table
 
 BANDS = ["easy", "middle", "hard"]
 #: At most so many judgements are used to fit; the model has a dozen parameters.
 FIT_ROWS = 20_000
 #: Words are counted in so many buckets over all documents; the counts are the one thing broadcast.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 PENALTY = 1e-2
 
 # Words that join clauses, and frequent words that tell languages apart.
@@ -39,6 +43,7 @@ FUNCTION_WORDS = {
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.S | re.M)
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)|(?:https?|ftp|git)://\S+|www\.\S+|\S+@\S+\.\w+")
+_HEADING = re.compile(r"#{1,6}\s")
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"\"[^\"\n]{20,}\"|“[^”]{20,}”|«[^»]{20,}»")
 _TRAILER = re.compile(r"^(?:[A-Z][\w-]*(?:-by)?: \S.{0,80}|[\w./-]+: [a-z0-9 _./-]{0,60}|CVE-\d+-\d+\S*|\[CVE-[^\]]*\].*|#\d+ +0x.*|.*\bwrote:|-- ?|[=\-~^*_#]{3,}|Advisory for .*)$")
@@ -52,7 +57,10 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"')\]]*\s+(?=[\"'(\[]?[A-ZÄÖÜ0-9])")
 
 def own_prose(text: str) -> list[str]:
     """The sentences of `text` that are its own prose."""
-    text = _FENCE.sub("\n\n", text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    # a pattern is tried only where a character is that it can't do without
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
     blocks: list[str] = []
     open_block: list[str] = []
 
@@ -65,7 +73,7 @@ def own_prose(text: str) -> list[str]:
     in_comment = False
     for i, line in enumerate(lines):
         under = lines[i + 1].strip() if i + 1 < len(lines) else ""
-        if _COMMENT_EDGE.match(line):
+        if "/" in line and _COMMENT_EDGE.match(line):
             in_comment = "/*" in line
             close()
             continue
@@ -73,11 +81,11 @@ def own_prose(text: str) -> list[str]:
         if not bare or bare.startswith((">", "|")) or _TRAILER.match(bare):
             close()
             continue
-        if re.match(r"#{1,6}\s", bare) or (len(under) >= 3 and not under.strip("=-~") and len(bare) < 90):
+        if (bare[0] == "#" and _HEADING.match(bare)) or (len(under) >= 3 and not under.strip("=-~") and len(bare) < 90):
             close()
             continue
         indented = line.startswith(("    ", "\t"))
-        body = _COMMENT_MARK.sub("", line) if not indented else line
+        body = _COMMENT_MARK.sub("", line) if not indented and bare[0] in "/*" else line
         if indented or (_CODE_LINE.search(body) and not re.search(r"[.!?]\s*$", body)):
             close()
             continue
@@ -88,7 +96,12 @@ def own_prose(text: str) -> list[str]:
     close()
     sentences = []
     for block in blocks:
-        block = _QUOTED.sub(" ", _INLINE.sub(" ", _LINK.sub(r"\1", block)))
+        if "://" in block or "](" in block or "@" in block or "www." in block:
+            block = _LINK.sub(r"\1", block)
+        if "`" in block:
+            block = _INLINE.sub(" ", block)
+        if '"' in block or "“" in block or "«" in block:
+            block = _QUOTED.sub(" ", block)
         sentences.extend(s for s in _SENTENCE.split(block) if s.strip())
     return sentences
 
@@ -97,45 +110,72 @@ def _words(sentence: str) -> list[str]:
     return _WORD.findall(sentence.lower())
 
 
+_SPEAKS = {w: frozenset(k for k, v in FUNCTION_WORDS.items() if w in v) for v in FUNCTION_WORDS.values() for w in v}
+_BEYOND_LATIN = re.compile("[^\\W\\d_\u0000-\u024f]")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def letters_of(text: str) -> tuple[int, int]:
+    """How many letters a text has, and how many of them are Latin."""
+    if text.isascii():
+        return 1, 1
+    letters = len(text) - len(_LETTER.sub("", text))
+    return letters, letters - len(_BEYOND_LATIN.findall(text))
+
+
 def is_english(words: list[str], letters: int, latin: int) -> bool:
     """Whether prose of these words is English: by its function words, and by its letters."""
     if not words or latin < 0.6 * letters:
         return False
-    share = {k: sum(w in v for w in words) for k, v in FUNCTION_WORDS.items()}
-    return share["en"] >= 0.12 * len(words) and share["en"] > max(share[k] for k in share if k != "en")
+    share = Counter()
+    for speaks, n in Counter(map(_SPEAKS.get, words)).items():
+        for k in speaks or ():
+            share[k] += n
+    return share["en"] >= 0.12 * len(words) and share["en"] > max(share[k] for k in FUNCTION_WORDS if k != "en")
 
 
 FEATURES = ["sentence_log", "sentence_long", "word_length", "word_long", "word_very_long", "rarity", "connectives", "clauses", "depth", "diversity", "length_log"]
 
 
-def buckets_of(words: list[str]) -> np.ndarray:
-    """The count bucket of each word; the same on every machine."""
-    import zlib
+class _Buckets(dict):
+    """The count bucket of each word, the same on every machine; forgets all at a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        self[word] = n = zlib.crc32(word.encode()) % BUCKETS
+        return n
 
-    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), dtype=np.int64, count=len(words))
 
+_BUCKETS = _Buckets()
 
-def features(sentences: list[list[str]], marks: list[int], rarity: np.ndarray) -> np.ndarray:
-    """Features of a document's prose; those of sentences are averaged over words."""
-    sizes = np.array([len(s) for s in sentences], dtype=float)
+
+def buckets_of(words: list[str]) -> np.ndarray:
+    """The count bucket of each word."""
+    return np.fromiter(map(_BUCKETS.__getitem__, words), dtype=np.int32, count=len(words))
+
+
+def features(sentences: list[list[str]], marks: list[int], rarity: float = 0.0) -> np.ndarray:
+    """Features of a document's prose; those of sentences are averaged over words. `rarity` is the mean of its words."""
+    sizes = list(map(len, sentences))
     flat = [w for s in sentences for w in s]
     n = len(flat)
-    lengths = np.fromiter(map(len, flat), dtype=float, count=n)
-    joins = np.array([sum(w in CONNECTIVES for w in s) for s in sentences], dtype=float)
-    weight = sizes / n
+    lengths = list(map(len, flat))
+    joins = [sum(map(CONNECTIVES.__contains__, s)) for s in sentences]
+    weighed = lambda values: sum(k * v for k, v in zip(sizes, values, strict=True)) / n
     return np.array(
         [
-            weight @ np.log1p(sizes),
-            weight @ (sizes > 25),
-            lengths.mean(),
-            (lengths >= 8).mean(),
-            (lengths >= 12).mean(),
-            rarity[buckets_of(flat)].mean(),
-            joins.sum() / n,
-            weight @ np.minimum(joins, 8),
-            weight @ np.minimum(np.array(marks, dtype=float), 8),
-            len(set(flat)) / np.sqrt(n),
-            np.log1p(n),
+            weighed([math.log1p(k) for k in sizes]),
+            weighed([k > 25 for k in sizes]),
+            sum(lengths) / n,
+            sum(map((8).__le__, lengths)) / n,
+            sum(map((12).__le__, lengths)) / n,
+            rarity,
+            sum(joins) / n,
+            weighed([min(k, 8) for k in joins]),
+            weighed([min(k, 8) for k in marks]),
+            len(set(flat)) / math.sqrt(n),
+            math.log1p(n),
         ]
     )
 
@@ -146,47 +186,51 @@ def _prepared(text: object) -> tuple[list[list[str]], list[int], bool]:
     sentences = own_prose(text)
     words = [_words(s) for s in sentences]
     kept = [(w, s.count(",") + s.count(";") + s.count(":")) for w, s in zip(words, sentences, strict=True) if w]
-    joined = "".join(sentences)
-    letters = sum(c.isalpha() for c in joined)
-    latin = sum(c.isalpha() and c < "ɐ" for c in joined)
     flat = [x for w, _ in kept for x in w]
-    return [w for w, _ in kept], [m for _, m in kept], is_english(flat, letters, latin)
+    return [w for w, _ in kept], [m for _, m in kept], is_english(flat, *letters_of("".join(sentences)))
 
 
-def word_counts(df: DataFrame, text: str) -> np.ndarray:
-    """How often words of each bucket occur in the prose of all documents."""
+def read_documents(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, english, n_words, x (features but for rarity), buckets (of the words, in order); null where there is no English prose."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t in pdf[text]:
-                sentences, _, english = _prepared(t)
-                if english:
-                    total += np.bincount(buckets_of([w for s in sentences for w in s]), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
-
-    rows = df.select(text).mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(BUCKETS)
+            out = []
+            for key, t in zip(pdf[doc_id], pdf[text], strict=True):
+                sentences, marks, english = _prepared(t)
+                x = features(sentences, marks) if english else None
+                words = buckets_of([w for s in sentences for w in s]) if english else None
+                out.append((key, english, sum(map(len, sentences)), x, words))
+            yield pd.DataFrame(out, columns=[doc_id, "english", "n_words", "x", "buckets"])
+
+    return df.select(doc_id, text).mapInPandas(read, f"{doc_id} bigint, english boolean, n_words bigint, x array<double>, buckets array<int>")
+
+
+def word_rarity(read: DataFrame) -> np.ndarray:
+    """Minus the logarithm of the share of each bucket's words in the prose of all documents."""
+    rows = read.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.zeros(BUCKETS)
     for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+        counts[r["bucket"]] = r["n"]
+    return -np.log((counts + 1.0) / (counts.sum() + BUCKETS))
 
 
-def document_features(df: DataFrame, doc_id: str, text: str, counts: np.ndarray) -> DataFrame:
-    """doc_id, english, n_words, x (array of features; null where there is no English prose)."""
-    rarity = df.sparkSession.sparkContext.broadcast(-np.log((counts + 1.0) / (counts.sum() + BUCKETS)))
+def with_rarity(read: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """doc_id, english, n_words and the whole of x."""
+    held = read.sparkSession.sparkContext.broadcast(rarity.astype(np.float32))
+    place = FEATURES.index("rarity")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for key, t in zip(pdf[doc_id], pdf[text], strict=True):
-                sentences, marks, english = _prepared(t)
-                x = features(sentences, marks, rarity.value) if english else None
-                out.append((key, english, sum(map(len, sentences)), x))
-            yield pd.DataFrame(out, columns=[doc_id, "english", "n_words", "x"])
+            xs = []
+            for x, words in zip(pdf["x"], pdf["buckets"], strict=True):
+                if x is not None:
+                    x = np.array(x)
+                    x[place] = held.value[words].mean()
+                xs.append(x)
+            yield pdf[["doc_id", "english", "n_words"]].assign(x=xs)
 
-    return df.select(doc_id, text).mapInPandas(read, f"{doc_id} bigint, english boolean, n_words bigint, x array<double>")
+    return read.mapInPandas(add, "doc_id bigint, english boolean, n_words bigint, x array<double>")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -244,7 +288,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    read = via_table(document_features(docs, "doc_id", "text", word_counts(docs, "text")), "reading")
+    words = via_table(read_documents(spread(docs), "doc_id", "text"), "words")
+    read = via_table(with_rarity(words, word_rarity(words)), "reading")
     judged = labels.where(F.col("band").isin(*BANDS)).select("doc_id", "rater", "band")
     # a bounded sample, the same at every run: the judgements with the least hashes
     taken = judged.orderBy(F.xxhash64("doc_id", "rater", "band"), "doc_id", "rater", "band").limit(FIT_ROWS)

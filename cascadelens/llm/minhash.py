@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from cascadelens.llm import codetokens
 from cascadelens.operators.graph import connected_components
-from cascadelens.session import cut_lineage, via_table
+from cascadelens.session import cut_lineage, spread, via_table
 
 #: Runs of so many tokens, and the share of them that two functions must have in common.
 WIDTH, SIMILARITY = 3, 0.7
 #: Wanted chance that a pair just at the threshold meets in a band, and rows of a band.
 RECALL, ROWS = 0.995, 5
+#: So many of a band meet in one task; a band with more is cut.
+CELL = 5_000
+#: Such bands are looked for among one of so many ids: what is overlooked is only not cut.
+LOOKED = 64
 #: Token runs are hashed for so many at a time, so that the work stays in the processor's cache.
 _BLOCK = 1 << 15
 
@@ -84,11 +88,11 @@ def signatures(df: DataFrame, row_id: str, text: str, bands: int, rows: int) ->
                     row_id: pdf[row_id].to_numpy()[who],
                     "key_a": keys[0].view(np.int64),
                     "key_b": keys[1].view(np.int64),
-                    "bands": list((hashes[who] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    "bands": list(hashes[who].view(np.int64)),
                 }
             )
 
-    return df.select(row_id, text).mapInPandas(sign, f"{row_id} bigint, key_a bigint, key_b bigint, bands array<int>")
+    return df.select(row_id, text).mapInPandas(sign, f"{row_id} bigint, key_a bigint, key_b bigint, bands array<bigint>")
 
 
 def run_sets(ids: np.ndarray, texts: pd.Series) -> dict[int, np.ndarray]:
@@ -113,6 +117,26 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["a", "b"]]
 
 
+def _meetings(buckets: DataFrame) -> DataFrame:
+    """a < b of all that meet in a band of buckets(id, band); a pair that meets in several bands comes several times.
+
+    A band that very many have is cut into cells by a hash of the id, and every two cells meet in a task
+    of their own, so no task has more than the pairs of two cells.
+    """
+    some = buckets.where(F.pmod(F.xxhash64("id"), F.lit(LOOKED)) == 0).groupBy("band").agg((LOOKED * F.count(F.lit(1))).alias("n"))
+    hot = via_table(some.where(F.col("n") > CELL).select("band", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "hot")
+    if hot.isEmpty():
+        return buckets.select(F.col("id").alias("a"), "band").join(buckets.select(F.col("id").alias("b"), "band"), "band").where("a < b").select("a", "b")
+    parted = buckets.join(hot, "band", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    own = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
+    other = parted.withColumn("own", own).select("id", "band", "own", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other"))
+    placed = other.select("id", "band", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    left, right = (placed.select(F.col("id").alias(c), "band", "low", "high", F.col("own").alias(f"own_{c}")) for c in "ab")
+    met = left.join(right, ["band", "low", "high"]).where("a < b")
+    # two of one cell meet where that cell meets itself
+    return met.where("own_a <> own_b or low = high").select("a", "b")
+
+
 def near_duplicates(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the rows of `df`.
 
@@ -122,15 +146,13 @@ def near_duplicates(df: DataFrame, row_id: str, text: str) -> tuple[DataFrame, D
     """
     base = df.select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     bands = bands_for(SIMILARITY, ROWS, RECALL)
-    signed = via_table(signatures(base, "id", "text", bands, ROWS), "signatures")
+    signed = via_table(signatures(spread(base), "id", "text", bands, ROWS), "signatures")
     reps = signed.groupBy("key_a", "key_b").agg(F.min("id").alias("rep"))
     members = cut_lineage(signed.select("id", "key_a", "key_b").join(reps, ["key_a", "key_b"]).select("id", "rep").distinct())
     heads = members.where("id = rep").select("id")
-    # the band's number and 32 bits of its hash are one key
-    placed = signed.join(heads, "id").select("id", F.posexplode("bands").alias("place", "hash"))
-    buckets = placed.select("id", F.shiftleft(F.col("place").cast("bigint"), 32).bitwiseOR(F.col("hash").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))).alias("band"))
-    met = buckets.select(F.col("id").alias("a"), "band").join(buckets.select(F.col("id").alias("b"), "band"), "band").where("a < b")
-    candidates = cut_lineage(met.select("a", "b").distinct())
+    # a band's hash has its number mixed in, so the hash alone is the key
+    buckets = signed.join(heads, "id").select("id", F.explode("bands").alias("band"))
+    candidates = cut_lineage(_meetings(buckets).distinct())
     # texts are shuffled once for both ends; they are smaller than the hashes of their runs
     both = candidates.join(base.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(base.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return members, both.mapInPandas(_shared, "a bigint, b bigint").distinct()

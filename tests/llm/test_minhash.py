@@ -78,3 +78,14 @@ def test_empty(spark):
     members, pairs = minhash.near_duplicates(df, "fs_id", "content")
     assert minhash.pairs_of_rows(members, pairs).count() == 0 and minhash.groups(members, pairs).count() == 0
     assert np.array_equal(minhash.band_hashes(np.zeros(0, np.uint64), np.zeros(0, int), 2, 3, 2), np.zeros((2, 3)))
+
+
+def test_meetings_in_cells_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "LOOKED", 1)
+    rows = [(i, 7) for i in range(37)] + [(i, 8) for i in range(30, 40)] + [(50, 9)]
+    got = sorted(tuple(r) for r in minhash._meetings(spark.createDataFrame(rows, "id bigint, band bigint")).collect())
+    want = sorted((a, b) for a, k in rows for b, m in rows if k == m and a < b)
+    assert got == want
+    monkeypatch.setattr(minhash, "CELL", 1000)
+    assert sorted(tuple(r) for r in minhash._meetings(spark.createDataFrame(rows, "id bigint, band bigint")).collect()) == want

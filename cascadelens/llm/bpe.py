@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cascadelens.session import spread
+
 #: Where the vocabulary lies on every machine; it is a parameter of each operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text into words before the merges of this vocabulary.
@@ -84,7 +86,7 @@ class Vocabulary:
 
     def merge_rows(self, rows: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of a padded matrix of byte ids (-1 on the right)."""
-        out: list[np.ndarray] = [rows[i] for i in range(0)] or [None] * len(rows)
+        out: list[np.ndarray] = [None] * len(rows)
         index = np.arange(len(rows))
         ids = rows.copy()
         if ids.shape[1] < 2:
@@ -203,7 +205,7 @@ def token_ids(df: DataFrame, doc_id: str, text: str, path: str = VOCABULARY) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[doc_id, "ids"])
 
     kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(doc_id, text).mapInArrow(encode, f"`{doc_id}` {kind}, ids array<int>")
+    return spread(df.select(doc_id, text)).mapInArrow(encode, f"`{doc_id}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, text: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:
@@ -216,4 +218,4 @@ def token_counts(df: DataFrame, text: str, keep: list[str], path: str = VOCABULA
             sizes = [sum(map(len, line)) for line in vocab.encode(batch.column(len(keep)).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes, type=pa.int64())], names=[*keep, "n_tokens"])
 
-    return df.select(*keep, F.col(text)).mapInArrow(count, f"{fields}, n_tokens bigint")
+    return spread(df.select(*keep, F.col(text))).mapInArrow(count, f"{fields}, n_tokens bigint")

@@ -9,6 +9,7 @@ project, or after a project with its version, hold copies.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascadelens.session import via_table
+from cascadelens.session import spread, via_table
 
 #: A mined pattern has so many files with it, in so many repositories, of which so great a share tell
 #: the kind by their content; copies tell by a notice, which few of them bear.
@@ -38,10 +39,11 @@ _HEADER = re.compile(
 _STYLE = re.compile(r"\byych\b|\byyvsp\b|\b_has_bits_\b|->WriteTag\(|^#line \d+ \"", re.M)
 _PART_OF = re.compile(r"(?i)this file is part of (?:the )?([\w.+-]+?)(?:\s+v?\d[\w.]*|\s*[.,*\n]|\s+(?:project|library|package))")
 _LEAD = re.compile(r"\s*(/\*.*?\*/|(?://[^\n]*\n?)+)", re.S)
+_ATTRIBUTES = re.compile(r"(?:^|[/\\])\.gitattributes$")
 _COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d+(?:\.\d*)?(?:[eE]-?\d+)?)[uUlLfF]*(?=\s*[,}])")
 
-_SIGNS = "author string, repo_name string, file_path string, size bigint, is_generated int, is_styled int, data_size bigint, min_size bigint, part_of string, code_key bigint, birth timestamp"
+_SIGNS = "author string, repo_name string, file_path string, size bigint, is_generated int, is_styled int, data_size bigint, min_size bigint, part_of string, code_key bigint, attributes string, birth timestamp"
 
 
 def _leading_comments(text: str) -> str:
@@ -68,16 +70,15 @@ def row_signs(text: str) -> tuple[int, int, int, int, int, str | None]:
 
 
 def _read_signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zlib
-
     for pdf in batches:
         rows = []
-        for text in pdf["content"]:
+        for path, text in zip(pdf["file_path"], pdf["content"], strict=True):
             text = text if isinstance(text, str) else ""
             signs = row_signs(text)
             bare = "".join(_COMMENT.sub("", text).split()).encode("utf-8", "surrogatepass")
-            rows.append((*signs, (zlib.crc32(bare) << 31) ^ zlib.adler32(bare)))
-        signs = pd.DataFrame(rows, columns=["size", "is_generated", "is_styled", "data_size", "min_size", "part_of", "code_key"])
+            key = int.from_bytes(hashlib.blake2b(bare, digest_size=8).digest(), "big", signed=True)
+            rows.append((*signs, key, text if isinstance(path, str) and _ATTRIBUTES.search(path) else None))
+        signs = pd.DataFrame(rows, columns=["size", "is_generated", "is_styled", "data_size", "min_size", "part_of", "code_key", "attributes"])
         yield pd.concat([pdf[["author", "repo_name", "file_path"]].reset_index(drop=True), signs, pdf["birth_time"].rename("birth").reset_index(drop=True)], axis=1)
 
 
@@ -92,7 +93,7 @@ def _stem(segment: Column) -> Column:
 
 
 def attribute_rules(files: DataFrame) -> DataFrame:
-    """author, repo_name, rules: the lines of the attribute files among `files`(author, repo_name, file_path, content).
+    """author, repo_name, rules: the lines of the attribute files `files`(author, repo_name, file_path, content).
 
     rules is an array of (folder, line number, pattern, attribute, value) of attributes that end in
     `generated` or `vendored`; it is bounded by the attribute files of one repository.
@@ -103,7 +104,7 @@ def attribute_rules(files: DataFrame) -> DataFrame:
         .select("author", "repo_name", F.regexp_replace(path, r"/?\.gitattributes$", "").alias("folder"), F.posexplode(F.split("content", "\r?\n")).alias("line", "text"))
         .where(~F.col("text").rlike(r"^\s*(?:#|$)"))
         .select("author", "repo_name", "folder", "line", F.split(F.trim("text"), r"\s+").alias("words"))
-        .select("author", "repo_name", "folder", "line", F.col("words")[0].alias("pattern"), F.explode(F.slice("words", 2, 1000)).alias("word"))
+        .select("author", "repo_name", "folder", "line", F.col("words")[0].alias("pattern"), F.explode(F.slice("words", F.lit(2), F.size("words"))).alias("word"))
     )
     attribute = F.regexp_extract("word", r"^[-!]?(?:[\w]+-)?(generated|vendored)(?:=.*)?$", 1)
     value = ~(F.col("word").startswith("-") | F.col("word").startswith("!") | F.lower("word").rlike("=(?:false|0|no)$"))
@@ -167,7 +168,8 @@ def classify(functions: DataFrame) -> DataFrame:
     delivered twice change nothing. A borrowed function makes no copy of a file.
     """
     wanted = functions.select("author", "repo_name", "file_path", "content", "birth_time")
-    rows = wanted.mapInPandas(_read_signs, _SIGNS)
+    # a set of functions is told by its number and by the sum of its 64-bit hashes
+    rows = spread(wanted).mapInPandas(_read_signs, _SIGNS).withColumn("code_key", F.col("code_key").cast("decimal(20,0)"))
     files = via_table(
         rows.groupBy("author", "repo_name", "file_path").agg(
             F.sum("size").alias("size"),
@@ -177,8 +179,8 @@ def classify(functions: DataFrame) -> DataFrame:
             F.sum("min_size").alias("min_size"),
             F.min("part_of").alias("part_of"),
             F.count_distinct("code_key").alias("n_functions"),
-            F.min("code_key").alias("least_key"),
-            F.max("code_key").alias("greatest_key"),
+            F.sum_distinct("code_key").alias("code_sum"),
+            F.collect_set("attributes").alias("attributes"),
             F.min("birth").alias("birth"),
         ),
         "files",
@@ -229,9 +231,9 @@ def classify(functions: DataFrame) -> DataFrame:
     placed = lambda x: x.select(*[F.col(k).alias(f"_{k}") for k in keys])
     at = placed(copies)
     alone = files["author"].eqNullSafe(at["_author"]) & files["repo_name"].eqNullSafe(at["_repo_name"]) & files["file_path"].eqNullSafe(at["_file_path"])
-    whole = files.where("n_functions >= 2 and not copied").join(at, alone, "left_anti").select(*keys, "birth", repo.alias("repo"), "n_functions", "least_key", "greatest_key", base_name.alias("base"))
-    first = whole.groupBy("base", "n_functions", "least_key", "greatest_key").agg(F.min(F.struct(F.col("birth").isNull().alias("u"), "birth", "repo")).alias("first"), F.count_distinct("repo").alias("k")).where("k > 1 and first.birth is not null")
-    twins = whole.join(first, ["base", "n_functions", "least_key", "greatest_key"]).where((F.col("repo") != F.col("first.repo")) & (F.col("birth") > F.col("first.birth"))).select(*keys, F.lit("whole copy").alias("twin"))
+    whole = files.where("n_functions >= 2 and not copied").join(at, alone, "left_anti").select(*keys, "birth", repo.alias("repo"), "n_functions", "code_sum", base_name.alias("base"))
+    first = whole.groupBy("base", "n_functions", "code_sum").agg(F.min(F.struct(F.col("birth").isNull().alias("u"), "birth", "repo")).alias("first"), F.count_distinct("repo").alias("k")).where("k > 1 and first.birth is not null")
+    twins = whole.join(first, ["base", "n_functions", "code_sum"]).where((F.col("repo") != F.col("first.repo")) & (F.col("birth") > F.col("first.birth"))).select(*keys, F.lit("whole copy").alias("twin"))
 
     same = lambda a, b: a["author"].eqNullSafe(b["author"]) & a["repo_name"].eqNullSafe(b["repo_name"]) & a["file_path"].eqNullSafe(b["file_path"])
 
@@ -240,7 +242,7 @@ def classify(functions: DataFrame) -> DataFrame:
 
     out = files.select(*keys, "path", "content_kind", "copied")
     out = add(add(add(out, hits, "mined"), copies, "place"), twins, "twin")
-    rules = attribute_rules(functions.select("author", "repo_name", "file_path", "content"))
+    rules = attribute_rules(files.select("author", "repo_name", "file_path", F.explode("attributes").alias("content")))
     out = out.join(rules, out["author"].eqNullSafe(rules["author"]) & out["repo_name"].eqNullSafe(rules["repo_name"]), "left").select(*[out[c] for c in out.columns], rules["rules"])
     named = F.when(F.lower("path").rlike(GENERATED_NAME.pattern), "generated").when(F.lower("path").rlike(MINIFIED_NAME.pattern), "minified")
     vendored = F.col("copied") | F.col("place").isNotNull() | F.col("twin").isNotNull() | (F.coalesce(F.col("mined.mined_kind"), F.lit("")) == "vendored")

@@ -61,3 +61,13 @@ def test_attribute_files(spark):
 
 def test_empty(spark):
     assert classify(spark, []) == {}
+
+
+def test_copies_agree_in_every_function(spark):
+    """A whole copy has the same set of functions; one that differs in the middle is none."""
+    code = lambda name: f"int {name}(int a) {{ return a + {len(name)}; }}"
+    day = lambda d: dt.datetime(2020, 1, d)
+    rows = [("o", repo, path, code(f), day(d), 1) for repo, path, names, d in (("first", "x/core.c", "abcde", 1), ("later", "y/core.c", "edcba", 2), ("other", "z/core.c", ["a", "b", "cc", "d", "e"], 3)) for f in names]
+    df = spark.createDataFrame(rows, "author string, repo_name string, file_path string, content string, birth_time timestamp, size int")
+    got = {r["repo_name"]: r["reason"] for r in h.classify(df).collect()}
+    assert got == {"first": None, "later": "whole copy", "other": None}

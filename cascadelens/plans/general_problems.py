@@ -158,7 +158,23 @@ judged AS (
 ), found AS (SELECT *, CASE r WHEN 3 THEN 'missing' WHEN 2 THEN 'deleted' ELSE 'late' END AS kind FROM judged WHERE r > 0)
 """
 
+_LOOPS = _FOREST.rstrip() + """,
+lost AS (SELECT id, up FROM node WHERE id NOT IN (SELECT id FROM walk)),
+climb AS (SELECT id, up AS spot FROM lost UNION SELECT c.id, l.up FROM climb c JOIN lost l ON l.id = c.spot),
+ring AS (SELECT id FROM climb WHERE id = spot)
+SELECT min(spot) AS loop_id, id AS unique_id, id IN (SELECT id FROM ring) AS on_loop FROM climb WHERE spot IN (SELECT id FROM ring) GROUP BY id"""
+
+_SCHEMA = _JSON_NODES.split(", tops AS")[0].rstrip() + """,
+item AS (SELECT 'configurations' AS name, c AS v FROM conf WHERE c IS NOT NULL
+  UNION ALL SELECT CASE WHEN key IS NULL THEN name ELSE key END, CASE WHEN key IS NULL THEN json_extract(v, '$[' || i || ']') ELSE json_extract(v, '$."' || key || '"') END FROM (
+    SELECT name, v, CAST(NULL AS VARCHAR) AS key, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM item WHERE json_type(v) = 'ARRAY'
+    UNION ALL SELECT name, v, unnest(json_keys(v)), 0 FROM item WHERE json_type(v) = 'OBJECT'))
+SELECT DISTINCT name AS parent, key AS child, CASE json_type(json_extract(v, '$."' || key || '"')) WHEN 'ARRAY' THEN 'many' WHEN 'OBJECT' THEN 'object' ELSE 'value' END AS kind
+FROM (SELECT name, v, unnest(json_keys(v)) AS key FROM item WHERE json_type(v) = 'OBJECT')"""
+
 ORACLE = {
+    "p4_loops": _LOOPS,
+    "p3_schema": _SCHEMA,
     "p1_found": instants_sql.FOUND,
     "p3_found": _JSON_NODES + "SELECT raw_id, node_path, match_pos FROM hit",
     "p3_matches": _JSON_NODES

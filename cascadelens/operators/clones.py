@@ -5,95 +5,163 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cascadelens.functions.hashing import hamming
 from cascadelens.session import via_table
 
 #: Bits of 64 in which two fingerprints may differ; least share of reused functions.
 HAMMING, BASE_THRESHOLD = 8, 0.1
 #: So many fingerprints of a key meet in one task; a key with more is cut.
-CELL = 20_000
+CELL = 100_000
+#: In a task, sets of up to so many pairs are compared pair by pair, so many at a time; larger ones are cut into keys again.
+PAIRS, BLOCK = 1 << 26, 1 << 16
 
 
 def bands_together(n: int, distance: int = HAMMING) -> int:
-    """How many bands make a key, so that n fingerprints share a key about as often as chance has it: at least log2(n) bits."""
+    """How many bands make a key, so that of n fingerprints about half a cell shares a key by chance."""
     together = 1
-    while together * 64 / (distance + together) < math.log2(max(n, 2)):
+    while n / 2 ** (64 * together / (distance + together)) > CELL / 2 and together < 64 - distance:
         together += 1
     return together
 
 
-def band_keys(fingerprint: Column, distance: int, together: int = 2) -> Column:
-    """array<struct<key, mask>>: the 64 bits cut into distance + together bands, every `together` of them a key.
+def _bands(ones: np.ndarray, count: int) -> list[int]:
+    """`count` disjoint sets of bits as masks; `ones` has the share of fingerprints with each bit.
 
-    Two fingerprints within the distance differ in at most `distance` bands and so agree on one key in
-    full. More bands together make more keys of more bits each, which unlike fingerprints share less.
-    `key` is the fingerprint in these bands, `mask` tells the bands, a bit each.
+    A bit that nearly all have or lack tells few apart, so every band gets as much entropy as any other.
     """
-    bands = _bands(distance + together)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    bits = lambda chosen: signed(sum(((1 << bands[i][1]) - 1) << bands[i][0] for i in chosen))
-    masks = [F.struct(F.lit(bits(c)).cast("bigint").alias("bits"), F.lit(sum(1 << i for i in c)).alias("mask")) for c in combinations(range(len(bands)), together)]
-    return F.transform(F.array(*masks), lambda m: F.struct(fingerprint.bitwiseAND(m["bits"]).alias("key"), m["mask"].alias("mask")))
-
-
-def _bands(count: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each of so many bands."""
-    width, more = divmod(64, count)
-    sizes = [width + (i < more) for i in range(count)]
-    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
-
-
-def _first_key(a: Column, b: Column, mask: Column, bands: list[tuple[int, int]]) -> Column:
-    """Whether `mask` has the first bands in which a and b agree: one key stands for a pair."""
-    apart = a.bitwiseXOR(b)
-    agree = F.lit(0)
-    for i, (at, size) in enumerate(bands):
-        agree = agree.bitwiseOR(F.when(apart.bitwiseAND(F.shiftleft(F.lit((1 << size) - 1).cast("bigint"), at)) == 0, 1 << i).otherwise(0))
-    # the bands up to the last one of the mask
-    last = F.floor(F.log2(mask.cast("double"))).cast("int")
-    return agree.bitwiseAND(F.call_function("shiftleft", F.lit(2), last) - 1) == mask
+    with np.errstate(divide="ignore", invalid="ignore"):
+        told = -np.nan_to_num(ones * np.log2(ones)) - np.nan_to_num((1 - ones) * np.log2(1 - ones))
+    masks, sums = [0] * count, [0.0] * count
+    for bit in np.argsort(-told, kind="stable").tolist():
+        least = min(range(count), key=lambda i: (sums[i], masks[i].bit_count()))
+        masks[least] |= 1 << bit
+        sums[least] += told[bit]
+    return masks
+
+
+def _first_bands(apart: np.ndarray, masks: list[int], together: int) -> np.ndarray:
+    """The first `together` bands without a difference, a bit each: one key stands for a pair."""
+    agree = np.zeros(len(apart), np.uint64)
+    for i, mask in enumerate(masks):
+        agree |= ((apart & np.uint64(mask)) == 0).astype(np.uint64) << np.uint64(i)
+    rest = agree.copy()
+    for _ in range(together):
+        rest &= rest - np.uint64(1)
+    return agree ^ rest
+
+
+def _near(f: np.ndarray, g: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in f and g of all pairs within the distance, each once; without g of two different places in f.
+
+    Large sets are cut into bands by their own bits: what they share, as the key that led them here, has no entropy.
+    """
+    other = f if g is None else g
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(f) * len(other) <= PAIRS:
+        step = max(1, BLOCK // max(len(other), 1))
+        for at in range(0, len(f), step):
+            first = at + 1 if g is None else 0
+            i, j = np.nonzero(np.bitwise_count(f[at : at + step, None] ^ other[None, first:]) <= distance)
+            i, j = i + at, j + first
+            found.append((i, j) if g is not None else (i[i < j], j[i < j]))
+    else:
+        bits = np.arange(64, dtype=np.uint64)
+        masks = _bands(np.array([((other >> b) & np.uint64(1)).mean() for b in bits]), distance + 1)
+        for k, mask in enumerate(masks):
+            in_f, in_g = _by_value(f & np.uint64(mask)), None if g is None else _by_value(g & np.uint64(mask))
+            for value, x in in_f.items():
+                y = x if in_g is None else in_g.get(value)
+                if y is None or (g is None and len(x) < 2):
+                    continue
+                whole = len(x) == len(f) and len(y) == len(other)
+                i, j = _halves(f[x], None if g is None else g[y], distance) if whole else _near(f[x], None if g is None else g[y], distance)
+                i, j = x[i], y[j]
+                first = _first_bands(f[i] ^ other[j], masks[: k + 1], 1) == np.uint64(1 << k)
+                found.append((i[first], j[first]))
+    return tuple(np.concatenate([p[side] for p in found]) if found else np.zeros(0, np.int64) for side in (0, 1))
+
+
+def _halves(f: np.ndarray, g: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `_near`, by halves of f: for a set that a band leaves whole."""
+    half = len(f) // 2
+    parts = [(0, 0, _near(f[:half], g, distance)), (half, 0 if g is not None else half, _near(f[half:], g, distance))]
+    if g is None:
+        parts.append((0, half, _near(f[:half], f[half:], distance)))
+    return tuple(np.concatenate([p[2][side] + p[side] for p in parts]) for side in (0, 1))
+
+
+def _by_value(values: np.ndarray) -> dict[int, np.ndarray]:
+    """The places of each value."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return dict(zip(ordered[starts].tolist(), np.split(order, starts[1:]), strict=True))
 
 
 def near_fingerprints(left: DataFrame, right: DataFrame, distance: int = HAMMING) -> DataFrame:
     """fa, fb within the distance, each pair once; left(fa), right(fb) are distinct and not null.
 
-    Keys get wider with the number of fingerprints, so what meets in one grows with that number and not
-    with its square. A pair that shares several keys counts in the first, so no pair is shuffled again.
-    A key with very many fingerprints is cut into cells, and every two cells meet in a task.
+    The 64 bits are cut into distance + together bands. Two fingerprints within the distance differ in at
+    most `distance` bands and so agree on a key of `together` bands in full; the first such key stands for
+    the pair. Few wide sets are shuffled and not many narrow ones: those of a key meet in a task, which cuts
+    them further by itself (`_near`). A fingerprint of both sides is one row. A key with very many
+    fingerprints is cut into cells, and every two cells meet in a task.
     """
-    count = max(left.count(), right.count())
+    if left is right:
+        sides = left.select(F.col("fa").alias("f"), F.lit(3).alias("side"))
+    else:
+        sides = left.select(F.col("fa").alias("f"), F.lit(1).alias("side")).unionByName(right.select(F.col("fb").alias("f"), F.lit(2).alias("side"))).groupBy("f").agg(F.sum("side").cast("int").alias("side"))
+    sides = via_table(sides, "sides")
+    count, *ones = sides.agg(F.count(F.lit(1)), *[F.count_if(F.shiftrightunsigned("f", i).bitwiseAND(F.lit(1)) == 1) for i in range(64)]).first()
     together = bands_together(count, distance)
-    bands = _bands(distance + together)
-    keyed = lambda d, f: d.select(f, F.inline(band_keys(F.col(f), distance, together)))
-    a, b = keyed(left, "fa"), keyed(right, "fb")
-    size = lambda d, n: d.groupBy("key", "mask").agg(F.count(F.lit(1)).alias(n))
-    # a cell holds at most about CELL fingerprints
-    hot = size(a, "na").join(size(b, "nb"), ["key", "mask"]).where(F.greatest("na", "nb") > CELL).select("key", "mask", F.ceil(F.col("na") / CELL).cast("int").alias("ca"), F.ceil(F.col("nb") / CELL).cast("int").alias("cb"))
-    hot = via_table(hot, "hot")
-    own = lambda f, n: F.pmod(F.xxhash64(f), F.coalesce(n, F.lit(1))).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
-    x = a.join(hot, ["key", "mask"], "left").select("fa", "key", "mask", own("fa", F.col("ca")).alias("i"), each(F.col("cb")).alias("j"))
-    y = b.join(hot, ["key", "mask"], "left").select("fb", "key", "mask", own("fb", F.col("cb")).alias("j"), each(F.col("ca")).alias("i"))
-    met = x.join(y, ["key", "mask", "i", "j"]).where(hamming(F.col("fa"), F.col("fb")) <= distance)
-    return met.where(_first_key(F.col("fa"), F.col("fb"), F.col("mask"), bands)).select("fa", "fb")
+    bands = _bands(np.array(ones) / max(count, 1), distance + together)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = F.array(*[F.struct(F.lit(signed(sum(bands[i] for i in c))).cast("bigint").alias("bits"), F.lit(sum(1 << i for i in c)).cast("bigint").alias("chosen")) for c in combinations(range(len(bands)), together)])
+    keyed = sides.select("f", "side", F.inline(keys)).select("f", "side", "chosen", F.col("f").bitwiseAND(F.col("bits")).alias("key"))
+    hot = via_table(keyed.groupBy("chosen", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("chosen", "key", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "hot")
+    own = F.pmod(F.xxhash64("f"), F.coalesce("cells", F.lit(1))).cast("int")
+    celled = keyed.join(hot, ["chosen", "key"], "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1)))
+    cells = celled.select("f", "side", "chosen", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        f, side, cell = rows["f"].to_numpy().view(np.uint64), rows["side"].to_numpy(), rows["own"].to_numpy()
+        chosen, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        if i == j:
+            x, y = _near(f, None, distance)
+        else:
+            here, there = np.flatnonzero(cell == i), np.flatnonzero(cell == j)
+            x, y = _near(f[here], f[there], distance)
+            x, y = here[x], there[y]
+        first = _first_bands(f[x] ^ f[y], bands, together) == np.uint64(chosen)
+        x, y = np.r_[x[first], y[first]], np.r_[y[first], x[first]]
+        asked = ((side[x] & 1) != 0) & ((side[y] & 2) != 0)
+        return pa.table({"fa": f[x[asked]].view(np.int64), "fb": f[y[asked]].view(np.int64)})
+
+    met = cells.groupBy("chosen", "key", "i", "j").applyInArrow(meet, "fa bigint, fb bigint")
+    return met.unionByName(sides.where("side = 3").select(F.col("f").alias("fa"), F.col("f").alias("fb")))
 
 
 def similar_functions(projects: DataFrame, library: DataFrame, distance: int = HAMMING) -> DataFrame:
     """id, repo_b: functions of `projects` that another repository of `library` has in an older form.
 
-    Both have id, repo, fingerprint, birth. Fingerprints that agree in full are folded first, so copies
-    cost one row.
+    Both have id, repo, fingerprint, birth; an id has one fingerprint. Fingerprints that agree in full are
+    folded first, so copies cost one row.
     """
     fold = lambda d, f: via_table(d.where("fingerprint is not null").select(F.col("fingerprint").alias(f)).distinct(), "fingerprints")
-    near = near_fingerprints(fold(projects, "fa"), fold(library, "fb"), distance)
+    left = fold(projects, "fa")
+    near = near_fingerprints(left, left if library is projects else fold(library, "fb"), distance)
     a = projects.select(F.col("id"), F.col("repo").alias("repo_a"), F.col("fingerprint").alias("fa"), F.col("birth").alias("birth_a"))
-    # of equal fingerprints of a repository only the oldest and an undated one can matter
-    b = library.where("fingerprint is not null").groupBy(F.col("repo").alias("repo_b"), F.col("fingerprint").alias("fb")).agg(F.min("birth").alias("birth_b"), F.max(F.col("birth").isNull()).alias("undated"))
+    # of equal fingerprints of a repository only the oldest and an undated one can matter, and so of all that are near one
+    oldest = [F.min("birth_b").alias("birth_b"), F.max("undated").alias("undated")]
+    b = library.where("fingerprint is not null").select(F.col("repo").alias("repo_b"), F.col("fingerprint").alias("fb"), F.col("birth").alias("birth_b"), F.col("birth").isNull().alias("undated")).groupBy("repo_b", "fb").agg(*oldest)
+    # pairs are shuffled twice only: by fb to their repositories, by fa to the functions asked for, where all else is done
+    forms = near.join(b, "fb").select("fa", "repo_b", "birth_b", "undated").repartition("fa").groupBy("fa", "repo_b").agg(*oldest)
     earlier = F.col("birth_a").isNull() | F.col("undated") | (F.col("birth_b") < F.col("birth_a"))
-    return a.join(near, "fa").join(b, "fb").where((F.col("repo_a") != F.col("repo_b")) & earlier).select("id", "repo_a", "repo_b").distinct()
+    return a.join(forms, "fa").where((F.col("repo_a") != F.col("repo_b")) & earlier).select("fa", "id", "repo_a", "repo_b").distinct().drop("fa")
 
 
 def reuse_rates(projects: DataFrame, matches: DataFrame) -> DataFrame:

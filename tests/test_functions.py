@@ -1,8 +1,10 @@
 """Known values of the scalar functions and the graph and clone operators against brute force."""
 
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,42 @@ def test_similar_functions_like_the_nested_loop(spark, monkeypatch):
     assert {(r["id"], r["repo_b"]) for r in clones.similar_functions(df, df).collect()} == want
 
 
+def test_fingerprints_in_a_task_like_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, 30, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (600, 7), dtype=np.uint64), axis=1)
+    f = np.unique(rng.choice(base, 600) ^ flips)
+    g = np.unique(np.r_[f[:100], rng.choice(base, 200), base[:1] ^ np.arange(300, dtype=np.uint64)])
+    alike = lambda x, y: {(i, j) for i, a in enumerate(x.tolist()) for j, b in enumerate(y.tolist()) if (a ^ b).bit_count() <= 8}
+    want, across = {(i, j) for i, j in alike(f, f) if i < j}, alike(f, g)
+    assert want and across
+    for most in (clones.PAIRS, 200):  # compared pair by pair, and cut into keys again and again
+        monkeypatch.setattr(clones, "PAIRS", most)
+        for pairs, x, y in ((want, f, None), (across, f, g), ({(j, i) for i, j in across}, g, f), (set(), f[:1], None), (set(), f[:0], g)):
+            i, j = clones._near(x, y, 8)
+            assert len(i) == len(pairs) and set(zip(i.tolist(), j.tolist(), strict=True)) == pairs
+
+
+def test_fingerprints_of_two_sides(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [rng.getrandbits(63) for _ in range(8)]
+    some = lambda n: {rng.choice(base) ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(8))}) for _ in range(n)}
+    both = some(20)
+    left, right = some(60) | both, some(90) | both
+    want = sorted((a, b) for a in left for b in right if (a ^ b).bit_count() <= 8)
+    make = lambda fs, name: spark.createDataFrame([(f,) for f in fs], f"{name} bigint")
+    for cell in (clones.CELL, 12):
+        monkeypatch.setattr(clones, "CELL", cell)
+        assert sorted(tuple(r) for r in clones.near_fingerprints(make(left, "fa"), make(right, "fb")).select("fa", "fb").collect()) == want
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000, 2_000_000, 50_000_000])
+def test_a_fingerprint_has_few_keys(n):
+    """Each key is a row to shuffle: 200,000 fingerprints once had 495 keys each, more than the disk takes."""
+    together = clones.bands_together(n)
+    assert math.comb(clones.HAMMING + together, together) <= 45
+
+
 @pytest.mark.parametrize("reused, total, want", [(0, 10, 0.1), (5, 10, 1.0), (20, 10, 0.5), (5000, 10, 0.01), (0, 0, 0.1)])
 def test_adaptive_threshold(spark, reused, total, want):
     df = spark.createDataFrame([(reused, total)], "r int, t int")

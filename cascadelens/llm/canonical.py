@@ -149,24 +149,24 @@ def _prefixes(sets: DataFrame, rank: DataFrame, key: str) -> DataFrame:
 
 
 def similar_keys(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(key, ending, tokens), right(...), distinct keys each: left_key, right_key, jaccard >= SIMILARITY, of the same ending."""
+    """left(key, ending, tokens), right(...), distinct keys each: left_key, right_key, jaccard >= SIMILARITY, left_ending, right_ending of all pairs."""
     tokens = left.select(F.explode("tokens").alias("token")).unionByName(right.select(F.explode("tokens").alias("token")))
     # at most the pairs of the 40 characters that squeezed names are made of, so one task can rank them
     rank = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).select("token", F.row_number().over(Window.orderBy("seen", "token")).alias("rank"))
-    x = _prefixes(left.withColumnRenamed("key", "left_key"), rank, "left_key").select("left_key", "ending", "token", F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("ordered").alias("ox"))
-    y = _prefixes(right.withColumnRenamed("key", "right_key"), rank, "right_key").select("right_key", "ending", "token", F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("ordered").alias("oy"))
+    x = _prefixes(left.withColumnRenamed("key", "left_key"), rank, "left_key").select("left_key", F.col("ending").alias("left_ending"), "token", F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("ordered").alias("ox"))
+    y = _prefixes(right.withColumnRenamed("key", "right_key"), rank, "right_key").select("right_key", F.col("ending").alias("right_ending"), "token", F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("ordered").alias("oy"))
     need = F.ceil((F.col("nx") + F.col("ny")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     fits: Column = (F.col("ny") >= SIMILARITY * F.col("nx") - 1e-9) & (F.col("nx") >= SIMILARITY * F.col("ny") - 1e-9)
     fits &= F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= need
     # little data, much work: as many tasks as there are partitions, and no token in one task alone
-    tasks, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["ending", "token", "salt"]
+    tasks, keys = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["token", "salt"]
     x = x.withColumn("salt", F.pmod(F.xxhash64("left_key"), F.lit(SALTS)).cast("int")).repartition(tasks, *keys)
     y = y.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))).repartition(tasks, *keys)
     met = x.join(y.hint("shuffle_hash"), keys).where(fits).withColumn("both", F.array_intersect("ox", "oy"))
     # only the first prefix token that both have stands for the pair, so no pair is verified twice
     shared = F.size("both")
     jaccard = shared / (F.col("nx") + F.col("ny") - shared)
-    return met.where(F.col("both")[0] == F.col("token")).select("left_key", "right_key", jaccard.alias("jaccard")).where(F.col("jaccard") >= SIMILARITY - 1e-9)
+    return met.where(F.col("both")[0] == F.col("token")).select("left_key", "right_key", jaccard.alias("jaccard"), "left_ending", "right_ending").where(F.col("jaccard") >= SIMILARITY - 1e-9)
 
 
 def _tails(keys: DataFrame) -> DataFrame:
@@ -187,6 +187,24 @@ def with_ending(sets: DataFrame, marks: DataFrame) -> DataFrame:
     return sets.join(found, "key", "left").withColumn("ending", F.coalesce("ending", F.lit("")))
 
 
+def set_apart(key: str, ending: str, entry: str, entry_ending: str) -> bool:
+    """Whether a name differs from an entry in an ending, and not by a slip: `onyx2` doesn't mean `onyx`, but `onyxlit` may mean `onyxlite`.
+
+    A name that has an ending must have the entry's. One without means an entry that has one only if the
+    whole explains it as well as what stands before the ending does.
+    """
+    if ending or not entry_ending:
+        return ending != entry_ending
+    edits = edit_distance(key, entry, EDITS)
+    return edits > EDITS or edit_distance(key, entry.removesuffix(entry_ending), EDITS) < edits
+
+
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        apart = [set_apart(*x) for x in zip(pdf["left_key"], pdf["left_ending"], pdf["right_key"], pdf["right_ending"], strict=True)]
+        yield pdf.loc[~pd.Series(apart, index=pdf.index, dtype=bool), ["left_key", "right_key", "jaccard"]]
+
+
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.assign(edits=[edit_distance(x, y, EDITS) for x, y in zip(pdf["key"], pdf["right_key"], strict=True)])
@@ -198,7 +216,7 @@ def canonical(names: DataFrame, entries: DataFrame) -> DataFrame:
     status is `matched`, `ambiguous` (the best entries are several, and no maker is named that one of
     them has) or `unmatched`; ref_id and what follows are null unless matched. Fillers, empty and
     blank names are unmatched, null ones are left out. Names that differ from an entry in an ending
-    that sets entries of the list apart (`2`, `lite`) don't mean that entry. Lists of any length are taken.
+    that sets entries of the list apart (`2`, `lite`) don't mean that entry (`set_apart`). Lists of any length are taken.
     """
     distinct = names.select("depname").where("depname is not null").distinct()
     spelled = via_table(spread(distinct).mapInPandas(_spell, _KEYS), "spelled")
@@ -209,7 +227,8 @@ def canonical(names: DataFrame, entries: DataFrame) -> DataFrame:
     # a key that stands in the list has its match; the others look for the most alike
     equal = asked.join(known.select("key"), "key", "left_semi").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"), F.lit(1.0).alias("jaccard"))
     others = asked.join(known.select("key"), "key", "left_anti")
-    pairs = via_table(equal.unionByName(similar_keys(with_ending(others, marks), with_ending(known, marks))), "pairs")
+    alike = similar_keys(with_ending(others, marks), with_ending(known, marks)).mapInPandas(_agreeing, "left_key string, right_key string, jaccard double")
+    pairs = via_table(equal.unionByName(alike), "pairs")
     met = spelled.select("depname", "vendor", "key", "form", "turned").join(pairs, F.col("key") == F.col("left_key")).drop("left_key")
     most = met.groupBy("depname").agg(F.max("jaccard").alias("most"))
     best = met.join(most, "depname").where(F.col("jaccard") == F.col("most")).drop("most")

@@ -39,6 +39,20 @@ def test_the_join_loses_no_pair(spark):
     assert got == want
 
 
+def test_the_join_loses_no_pair_of_other_endings(spark):
+    make = lambda x: spark.createDataFrame([(k, e, c.pairs_of(k)) for k, e in x], "key string, ending string, tokens array<string>")
+    got = c.similar_keys(make([("onyxsockett", ""), ("onyxsocket2", "2")]), make([("onyxsocket", ""), ("onyxsocket2", "2")]))
+    assert {(r["left_key"], r["right_key"]) for r in got.collect()} == {(a, b) for a in ("onyxsockett", "onyxsocket2") for b in ("onyxsocket", "onyxsocket2")}
+
+
+def test_a_slip_in_an_ending(spark):
+    listed = ["zorg@@onyx", "zorg@@onyxlite", "kilo@@abc", "kilo@@abcd", "acme@@jolajitod", "acme@@fadekaker"]
+    ref = spark.createDataFrame([(i, k, k, k, i, "x") for i, k in enumerate(listed)], ENTRIES)
+    want = {"onyxlit": 1, "onyxltie": 1, "onyxlite": 1, "onyxx": 0, "jolajitot": 4, "jolajito": "unmatched", "fadekakerlite": "unmatched", "fadekakerd": "unmatched"}
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(want)], "sbom_id bigint, depname string")
+    assert {r["depname"]: r["ref_id"] if r["status"] == "matched" else r["status"] for r in c.map_rows(names, "sbom_id", ref).collect()} == want
+
+
 def test_endings_are_mined(spark):
     keys = spark.createDataFrame([(k,) for k in ("onyxsocket", "onyxsocket2", "abc", "abclite", "abcd", "ab", "xy2")], "key string")
     marks = c.endings(keys)

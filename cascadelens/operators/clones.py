@@ -167,7 +167,8 @@ def similar_functions(projects: DataFrame, library: DataFrame, distance: int = H
 def reuse_rates(projects: DataFrame, matches: DataFrame) -> DataFrame:
     """repo_a, repo_b, common, total, reuse_rate."""
     total = projects.groupBy(F.col("repo").alias("repo_a")).agg(F.count(F.lit(1)).alias("total"))
-    common = matches.groupBy("repo_a", "repo_b").agg(F.count(F.lit(1)).alias("common"))
+    # pairs are dealt out by repo_a alone, so that they meet their totals without another shuffle
+    common = matches.repartition("repo_a").groupBy("repo_a", "repo_b").agg(F.count(F.lit(1)).alias("common"))
     return common.join(total, "repo_a").select("repo_a", "repo_b", "common", "total", (F.col("common") / F.col("total")).alias("reuse_rate"))
 
 

@@ -120,6 +120,19 @@ def test_a_fingerprint_has_few_keys(n):
     assert math.comb(clones.HAMMING + together, together) <= 45
 
 
+def test_reuse_rates_shuffle_pairs_once(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id int, repo string")
+    matches = spark.createDataFrame([(1, "x", "y"), (2, "x", "y"), (1, "x", "z")], "id int, repo_a string, repo_b string")
+    rates = clones.reuse_rates(df, matches)
+    assert sorted(map(tuple, rates.collect())) == [("x", "y", 2, 2, 1.0), ("x", "z", 1, 2, 0.5)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = clones.reuse_rates(df, matches)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 @pytest.mark.parametrize("reused, total, want", [(0, 10, 0.1), (5, 10, 1.0), (20, 10, 0.5), (5000, 10, 0.01), (0, 0, 0.1)])
 def test_adaptive_threshold(spark, reused, total, want):
     df = spark.createDataFrame([(reused, total)], "r int, t int")

@@ -297,3 +297,11 @@ def test_origins(spark):
     names = spark.createDataFrame([("A", "acore"), ("B", "bee"), ("C", "cee")], "tpl string, tpl_name string")
     got = {r["func"]: (r["origin"], r["by_path"]) for r in tpl.origins(births, names).collect()}
     assert got == {"f": ("A", True), "g": ("C", False)}
+
+
+def test_a_rate_equal_to_its_threshold_is_kept(spark):
+    ties = [(t, r) for r in range(10, 80) for t in range(1 + r // 10, r) if 1 / (r / t) > t / r]
+    assert len(ties) > 10
+    rates = spark.createDataFrame([("a", f"b{i}", t, r, t / r) for i, (t, r) in enumerate(ties)], "repo_a string, repo_b string, common bigint, total bigint, reuse_rate double")
+    stats = spark.createDataFrame([(f"b{i}", r, t) for i, (t, r) in enumerate(ties)], "repo_b string, reused bigint, functions bigint")
+    assert clones.reuse_relations(rates, stats).count() == len(ties)

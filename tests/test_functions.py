@@ -305,3 +305,10 @@ def test_a_rate_equal_to_its_threshold_is_kept(spark):
     rates = spark.createDataFrame([("a", f"b{i}", t, r, t / r) for i, (t, r) in enumerate(ties)], "repo_a string, repo_b string, common bigint, total bigint, reuse_rate double")
     stats = spark.createDataFrame([(f"b{i}", r, t) for i, (t, r) in enumerate(ties)], "repo_b string, reused bigint, functions bigint")
     assert clones.reuse_relations(rates, stats).count() == len(ties)
+
+
+def test_thresholds_are_the_quotients_to_the_last_bit(spark):
+    functions = spark.createDataFrame([(i, "x") for i in range(25)] + [(99, "y")], "id int, repo string")
+    rates = spark.createDataFrame([("y", "x", 30), ("z", "x", 4)], "repo_a string, repo_b string, common bigint")
+    got = clones.reuse_statistics(functions, rates).withColumn("t", clones.adaptive_threshold(F.col("reused"), F.col("functions")))
+    assert {tuple(r) for r in got.select("repo_b", "functions", "reused", "t").collect()} == {("x", 25, 34, 25 / 34), ("y", 1, 0, 0.1)}

@@ -312,3 +312,20 @@ def test_thresholds_are_the_quotients_to_the_last_bit(spark):
     rates = spark.createDataFrame([("y", "x", 30), ("z", "x", 4)], "repo_a string, repo_b string, common bigint")
     got = clones.reuse_statistics(functions, rates).withColumn("t", clones.adaptive_threshold(F.col("reused"), F.col("functions")))
     assert {tuple(r) for r in got.select("repo_b", "functions", "reused", "t").collect()} == {("x", 25, 34, 25 / 34), ("y", 1, 0, 0.1)}
+
+
+def test_reuse_relations_like_the_nested_loop(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(60)]
+    rows = [(i, f"r{rng.randrange(12)}", rng.choice(base) ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(9))}), dt.datetime(2020, 1, 1 + rng.randrange(25))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id bigint, repo string, fingerprint bigint, birth timestamp")
+    found = clones.similar_functions(df, df)
+    hits = {(i, ra, rb) for i, ra, f, x in rows for _, rb, g, y in rows if ra != rb and y < x and (f ^ g).bit_count() <= 8}
+    total, common = {}, {}
+    for _, ra, _, _ in rows:
+        total[ra] = total.get(ra, 0) + 1
+    for _, ra, rb in hits:
+        common[ra, rb] = common.get((ra, rb), 0) + 1
+    want = {(ra, rb, n, total[ra]) for (ra, rb), n in common.items() if n / total[ra] >= 0.1}
+    got = clones.reuse_relations(clones.reuse_rates(df, found)).select("repo_a", "repo_b", "common", "total").collect()
+    assert len(want) > 50 and len(got) == len(want) and {tuple(r) for r in got} == want

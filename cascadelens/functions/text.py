@@ -27,7 +27,8 @@ def preprocess(content: Column) -> Column:
 
 def tokens(content: Column) -> Column:
     """Words and single operator characters."""
-    return F.regexp_extract_all(content, F.lit(r"[\p{L}\p{N}_]+|[+\-*/=<>!&|]"), F.lit(0))
+    # \w has the ASCII ones, which are told faster
+    return F.regexp_extract_all(content, F.lit(r"[\w\p{L}\p{N}]++|[+\-*/=<>!&|]"), F.lit(0))
 
 
 def feature_class(token: Column) -> Column:

@@ -1,8 +1,10 @@
 """Known values of the scalar functions and the graph and clone operators against brute force."""
 
 import datetime as dt
+import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -329,3 +331,34 @@ def test_reuse_relations_like_the_nested_loop(spark):
     want = {(ra, rb, n, total[ra]) for (ra, rb), n in common.items() if n / total[ra] >= 0.1}
     got = clones.reuse_relations(clones.reuse_rates(df, found)).select("repo_a", "repo_b", "common", "total").collect()
     assert len(want) > 50 and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_simhash_by_its_definition(spark):
+    texts = [
+        (1, "int f(int a_1) { return a_1 + 0x1F; }  // away"), (2, None), (3, ""), (4, "{ ; }"), (5, "x"), (6, "42"), (7, "größe = Größe * 2; ELSE ٣ 𝒳y naïve_1"),
+        (8, "a b"), (8, "b c"), (9, " ".join(f"w{i % 7} + {i}" for i in range(17_000))), (10, "p -> q" * 30), (None, "lost")
+    ]
+    bags = {}
+    for i, text in texts:
+        tokens = re.findall(r"\w+|[+\-*/=<>!&|]", re.sub("//.*", "", text or ""))
+        for t in tokens:
+            kind = "keyword" if t.lower() in T.KEYWORDS else "identifier" if t.isalpha() else None if t.isalnum() else "operator"
+            bags.setdefault(i, []).extend([f"{kind}_{t.lower() if kind == 'keyword' else t}"] if kind else [])
+        bags.setdefault(i, []).extend(f"bigram_{x}_{y}" for x, y in zip(tokens, tokens[1:], strict=False))
+    want = []
+    for i, text in texts:
+        hashes = [int.from_bytes(hashlib.md5(f.encode()).digest()[8:]) for f in (bags[i] if i is not None else [])]
+        u = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        want += [(i, u - (1 << 64) if u >> 63 else u)] * (text is not None)
+    df = spark.createDataFrame(texts, "i bigint, content string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for parts in (1, 5):
+        assert sorted(map(tuple, H.simhash(df.coalesce(1).repartition(parts), "i", "content").collect()), key=key) == sorted(want, key=key)
+    single = spark.createDataFrame([(1, "7"), (2, "8")], "i bigint, content string").coalesce(1)
+    assert {r["fingerprint"] for r in H.simhash(single, "i", "content").collect()} == {0}
+
+
+def test_simhash_finds_tokens_once_and_makes_no_row_of_each(spark):
+    df = spark.createDataFrame([(1, "a b")], "i bigint, content string")
+    plan = H.simhash(df, "i", "content")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "Generate" not in plan

@@ -16,7 +16,7 @@ from cascadelens.functions import text as T
 from cascadelens.session import spread
 
 #: So many tokens are hashed and counted at a time, or one text.
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 
 
 def md5_low64(value: Column) -> Column:

@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,3 +364,12 @@ def test_simhash_finds_tokens_once_and_makes_no_row_of_each(spark):
     df = spark.createDataFrame([(1, "a b")], "i bigint, content string")
     plan = H.simhash(df, "i", "content")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1 and "Generate" not in plan
+
+
+def test_counting_takes_little_memory():
+    tokens = pa.array([b"w%d" % i for i in range(H.TOKENS)])
+    tracemalloc.start()
+    counts = H._bit_counts(np.full(H.TOKENS // 128, 128), tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts[0].tolist() == [127] * (H.TOKENS // 128) and peak < 128e6
